@@ -6,14 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import secrets
 from .common import table
+from .fingerprints import compare_with_edits
 from .packing import pack_documents
 from .token_index import read_store, write_store
 
 JSON_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.BASE)]
+    every = F.sort_array(F.concat("base", "linked"))
+    return found.select("doc_id", *counts, F.sha2(secrets.as_string(F.col("base")), 256).alias("base_sha256"), secrets.as_string(every).alias("spans"))
+
+
 def op6_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(write_store(table(spark, sf_dir, "documents"), JSON_TOKENIZER))
 

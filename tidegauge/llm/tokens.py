@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
+import public_tokenizers
+import regex
 
 _RUN = re.compile(r" (?:\s|\Z)")
 _LOADED: dict[str, ChunkEncoder] = {}
@@ -30,15 +33,48 @@ def _chunks(text: str) -> list[str]:
     return out
 
 
-class _Cache(dict):
-    """chunk -> its ids as bytes; misses go to the library. Cleared at ``limit`` entries, so memory is bounded."""
+def _byte_alphabet() -> dict[int, str]:
+    """Byte -> its printable sign in the byte-level alphabet: printable Latin-1 stands for itself, the rest follows 255."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def __init__(self, encode, prefix: str, limit: int):
+
+class _Words(dict):
+    """pre-token -> its ids as bytes, from the library's model. Cleared at ``limit`` entries, so memory is bounded."""
+
+    def __init__(self, tokenize, dtype: np.dtype, limit: int):
         super().__init__()
-        self.encode, self.prefix, self.limit = encode, prefix, limit
+        self.tokenize, self.dtype, self.limit, self.signs = tokenize, dtype, limit, _byte_alphabet()
+
+    def compute(self, word: str) -> bytes:
+        return array(self.dtype.char, [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.signs))]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.compute(word)
+        if len(word) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+class _Chunks(dict):
+    """chunk -> its ids as bytes. A chunk of letters is one pre-token; others are cut by the published pattern."""
+
+    def __init__(self, encoder: ChunkEncoder, prefix: str, limit: int):
+        super().__init__()
+        self.encoder, self.prefix, self.limit = encoder, prefix, limit
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(self.prefix + chunk)
+        whole, e = self.prefix + chunk, self.encoder
+        letters = chunk.isalpha()
+        if letters and (chunk.isascii() or _PLAIN(chunk)):
+            ids = e.words.compute(whole)
+        elif not letters and _PLAIN(chunk):
+            ids = b"".join([e.rest[w[1:]] if self.prefix and w[0] == " " and w[1:].isalpha() else e.words[w] for w in _PATTERN.findall(whole)])
+        else:
+            ids = e.encode(whole)
         if len(chunk) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -46,52 +82,49 @@ class _Cache(dict):
         return ids
 
 
+#: Texts for which the pattern surely means the same here and in the library, whatever their Unicode versions.
+_PLAIN = regex.compile(r"[\t-\r -~\u00a0-\u024f\u2010-\u2027\u20ac]*").fullmatch
+_PATTERN = regex.compile(public_tokenizers.PATTERN)
+
+
 class ChunkEncoder:
-    """Ids of texts as little-endian bytes: 16 bits an id if the vocabulary allows, else 32 (``dtype``)."""
+    """Ids of texts as little-endian bytes: 16 bits an id if the vocabulary allows, else 32 (``dtype``).
+
+    The file must be a byte-level BPE without a normaliser whose pre-tokens follow the published pattern, as is checked.
+    Added tokens are found by the library itself: a chunk that holds one of them goes to it whole.
+    """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if "ByteLevel(add_prefix_space=False" not in repr(self.tokenizer.pre_tokenizer) or self.tokenizer.normalizer:
+            raise ValueError(f"not a plain byte-level tokenizer: {path}")
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.head = _Cache(self._encode, "", limit // 8)
-        self.rest = _Cache(self._encode, " ", limit)
-        self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.opens[i] = token.startswith("\u0120")  # the byte-level alphabet's sign for a space
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def _encode(self, text: str) -> bytes:
-        return self._ids(text).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks joined by spaces in one call each 400; ids that open with a space are the cuts."""
-        for k in range(0, len(chunks), 400):
-            some = chunks[k : k + 400]
-            ids = self._ids(" " + " ".join(some))
-            cuts = np.flatnonzero(self.opens[ids])
-            if len(cuts) != len(some):
-                continue  # each is then encoded alone when it is met
-            if len(self.rest) + len(some) > self.rest.limit:
-                self.rest.clear()
-            raw, ends = ids.tobytes(), [*(cuts * self.dtype.itemsize).tolist(), len(ids) * self.dtype.itemsize]
-            self.rest.update(zip(some, map(raw.__getitem__, map(slice, ends, ends[1:]))))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(" " in t for t in self.added):
+            raise ValueError("added tokens with spaces are not supported")
+        self.words = _Words(self.tokenizer.model.tokenize, self.dtype, 100_000)
+        self.head = _Chunks(self, "", 50_000)
+        self.rest = _Chunks(self, " ", limit)
+
+    def encode(self, text: str) -> bytes:
+        """By the library alone."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _one(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if any(t in text for t in self.added):
+            return self.encode(text)
+        parts = _chunks(text)
+        parts[0] = self.head[parts[0]]
+        parts[1:] = map(self.rest.__getitem__, parts[1:])
+        return b"".join(parts)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [_chunks(t) if t else [] for t in texts]
-        met = set().union(*(parts[1:] for parts in split))  # small tables of the batch stay in the CPU's caches
-        self._learn([c for c in met if c not in self.rest and " " not in c and len(c) <= 64])
-        local = {c: self.rest[c] for c in met}
-        out = []
-        for parts in split:
-            if parts:
-                parts[0] = self.head[parts[0]]
-                parts[1:] = map(local.__getitem__, parts[1:])
-            out.append(b"".join(parts))
-        return out
+        return [self._one(t) for t in texts]
 
 
 def encoder(path: str) -> ChunkEncoder:

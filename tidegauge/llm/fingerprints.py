@@ -1,7 +1,7 @@
 """Order MinHash fingerprints of documents with DataFrame functions only (operator 1).
 
 A text is read as a sequence of pieces: up to six characters of a word, with the white space in front. Its k-mers are
-k pieces in a row (fewer at its end), and a k-mer that comes again carries the number of its occurrence, so that
+k pieces in a row (fewer at its start), and a k-mer that comes again carries the number of its occurrence, so that
 repetition counts. Every numbered k-mer has a hash, whose first bits choose one of 64 slots and whose other bits rank it
 there. Of each slot the two minimal k-mers are selected and put back into the order in which they stand in the text;
 the hash of that ordered pair is the slot's entry. Two texts agree in a slot if the same k-mers won it in the same order,
@@ -70,7 +70,7 @@ def fingerprint(text: Column, k: int = 3) -> Column:
     """64 slots as array<int>: an entry of 16 bits, or -1 for an empty slot."""
 
     def codes(p: Column) -> Column:
-        return F.transform(p, lambda x, i: F.xxhash64(x, *[F.get(p, i + n) for n in range(1, k)]).bitwiseAND(F.lit(FIRST)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE))))
+        return F.transform(p, lambda x, i: F.xxhash64(x, *[F.get(p, i - n) for n in range(1, k)]).bitwiseAND(F.lit(FIRST)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE))))
 
     found = let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0)), codes)
     return let(F.map_from_entries(_entries(_numbered(found))), lambda m: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.coalesce(F.try_element_at(m, s), F.lit(-1))))

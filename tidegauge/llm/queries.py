@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from . import secrets
 from .common import table
 from .fingerprints import compare_with_edits
+from .ngrams import jaccard_components
 from .packing import pack_documents
 from .token_index import read_store, write_store
+from .vectors import near_vectors
 
 JSON_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -21,9 +23,18 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secrets.BASE)]
+    of_kind = lambda i: F.size(F.filter("base", lambda s: s["ord"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(secrets.BASE)]
     every = F.sort_array(F.concat("base", "linked"))
     return found.select("doc_id", *counts, F.sha2(secrets.as_string(F.col("base")), 256).alias("base_sha256"), secrets.as_string(every).alias("spans"))
 

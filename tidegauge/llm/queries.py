@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import secrets
-from .common import table
+from .byte_bpe import ByteBPE
+from .common import let, table
 from .fingerprints import compare_with_edits
 from .ngrams import jaccard_components
 from .packing import pack_documents
+from .quality import classify
 from .token_index import read_store, write_store
 from .vectors import near_vectors
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -43,6 +46,21 @@ def op6_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(write_store(table(spark, sf_dir, "documents"), JSON_TOKENIZER))
 
 
+def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bpe = ByteBPE(spark, RANKS, public_tokenizers.PATTERN).learn(docs)
+
+    def digest(ids):
+        decimal = F.array_join(ids.cast("array<string>"), " ")
+        return F.struct(F.size(ids).cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"))
+
+    return docs.select("doc_id", let(bpe.encode(F.col("text")), digest).alias("d")).select("doc_id", "d.*")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), JSON_TOKENIZER)
 

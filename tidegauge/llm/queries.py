@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets
+from . import html_extract, licenses, secrets
 from .byte_bpe import ByteBPE
 from .common import let, table
 from .fingerprints import compare_with_edits
@@ -30,6 +30,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -46,6 +50,13 @@ def op6_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(write_store(table(spark, sf_dir, "documents"), JSON_TOKENIZER))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["family"]))), ",")
+    lines = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["line"].cast("string"), f["family"])), ",")
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_paragraphs"), families.alias("families"), lines.alias("paragraphs"), F.array_max(F.transform("findings", lambda f: f["probability"])).alias("probability"))
+
+
 def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     bpe = ByteBPE(spark, RANKS, public_tokenizers.PATTERN).learn(docs)

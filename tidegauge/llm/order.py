@@ -41,7 +41,8 @@ def with_next(rows: DataFrame, key: str, tie: str, next_name: str, carried: list
     firsts = dealt.groupBy("_part").agg(F.min(F.struct(key, tie)).alias("_first"))
     whole = W.orderBy("_part")
     ends = firsts.select("_part", F.coalesce(F.lead("_first").over(whole), F.first("_first").over(whole)).alias("_first"))
-    guests = rows.join(ends.select(F.col("_part"), F.col(f"_first.{key}").alias(key), F.col(f"_first.{tie}").alias(tie)), [key, tie])
+    # a row for each part and at most ``most`` of them: small enough to broadcast at any size of the input
+    guests = rows.join(F.broadcast(ends.select(F.col("_part"), F.col(f"_first.{key}").alias(key), F.col(f"_first.{tie}").alias(tie))), [key, tie])
     guests = guests.select(*rows.columns, "_part").dropDuplicates(["_part"])
     both = prepare(dealt.withColumn("_guest", F.lit(False)).unionByName(guests.withColumn("_guest", F.lit(True))))
     near = W.partitionBy("_part").orderBy("_guest", key, tie)

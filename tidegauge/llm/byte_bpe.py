@@ -2,8 +2,9 @@
 
 A text is cut into words by the published pattern. A word's bytes are folded: the state is the list of parts and, for each
 part, the rank of its union with the next; each step unites the leftmost pair of lowest rank, until no union has one. Byte strings are
-kept as Latin-1 strings, in which each character is a byte. Ranks are a literal of the plan: an array of small maps, in which a hash
-of the key picks the map, so that a look-up does not walk through the vocabulary.
+kept as Latin-1 strings, in which each character is a byte. Ranks are a literal of the plan (a scalar subquery, which the engine
+replaces by its value before the query runs): an array of small maps, in which a hash of the key picks the map, so that a look-up does not walk
+through the vocabulary. The literal is bound to a lambda variable once for each row, so the plan holds one copy of it.
 
 A word that is a token itself needs no fold, and words that are frequent need only one: a second literal holds the ids of all tokens and of up to
 ``cache_words`` distinct words, folded once, that are frequent in about ``cache_docs`` documents chosen by a hash. This cache only saves work:
@@ -16,13 +17,13 @@ A word costs the square of its length, which is short in prose; one unbroken wor
 from __future__ import annotations
 
 import base64
-import json
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, partitions, stage
 
 
 @lru_cache(maxsize=4)
@@ -32,53 +33,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _hash(key: Column, size: int) -> Column:
-    return F.xxhash64(key).bitwiseAND(F.lit(size - 1)).cast("int")
+    return F.xxhash64(key).bitwiseAND(F.lit(size - 1))
 
 
-def _table(spark: SparkSession, entries: list[tuple[str, object]], value: str) -> tuple[Column, int]:
-    """A literal array of maps, and its length: entry k is in the map that the engine's own hash of k picks."""
-    size = 1 << max(4, (len(entries) - 1).bit_length())
-    names = spark.createDataFrame([(k,) for k, _ in entries], "k string") if len(entries) < 1000 else None
-    if names is None:
-        import pandas as pd
+def _table(entries: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """One row with an array of maps, and its length, from rows (k, v): entry k is in the map that its hash picks."""
+    size = 1 << max(4, (n - 1).bit_length())
+    some = entries.groupBy(_hash(F.col("k"), size).alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    empty = F.create_map().cast(some.schema["m"].dataType)
+    every = entries.sparkSession.range(0, size, 1, 1).join(some, "id", "left").select("id", F.coalesce("m", empty).alias("m"))
+    return every.repartition(1).sortWithinPartitions("id").agg(F.collect_list("m").alias("t")), size
 
-        names = spark.createDataFrame(pd.DataFrame({"k": [k for k, _ in entries]}))
-    places = [r[0] for r in names.coalesce(1).select(_hash(F.col("k"), size)).collect()]
-    maps: list[dict] = [{} for _ in range(size)]
-    for (k, v), p in zip(entries, places):
-        maps[p][k] = v
-    return F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{value}>>"), size
 
+def _get(table: Column, size: int, key: Column) -> Column:
+    return F.try_element_at(F.get(table, _hash(key, size).cast("int")), key)
 
-def _get(table: tuple[Column, int], key: Column) -> Column:
-    column, size = table
-    return F.try_element_at(F.get(column, _hash(key, size)), key)
 
+class Bound:
+    """Expressions over the tables of one row's scope."""
 
-class ByteBPE:
-    """Column expressions for one vocabulary of ranks."""
-
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
-        self.spark, self.pattern = spark, "(?U)" + pattern
-        self.ranks = read_ranks(path)
-        signs = {k.decode("latin-1"): v for k, v in self.ranks.items()}
-        self.rank_table = _table(spark, list(signs.items()), "int")
-        self.pieces = F.from_json(F.lit(json.dumps([k for k, _ in sorted(signs.items(), key=lambda x: x[1])])), "array<string>")
-        if sorted(self.ranks.values()) != list(range(len(self.ranks))):
-            raise ValueError("ranks must be 0, 1, 2 ...")
-        self.tokens: list[tuple[str, list[int]]] = []
-        for k, v in self.ranks.items():
-            try:
-                self.tokens.append((k.decode("utf-8"), [v]))
-            except UnicodeDecodeError:
-                pass
-        self.known = _table(spark, self.tokens, "array<int>")
+    def __init__(self, bpe: ByteBPE, tables: Column):
+        self.bpe, self.tables = bpe, tables
 
     def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.bpe.pattern), F.lit(0))
+
+    def rank(self, signs: Column) -> Column:
+        return F.when(signs.isNotNull(), _get(self.tables["ranks"], self.bpe.rank_size, signs))
 
-    def rank(self, bytes_: Column) -> Column:
-        return F.when(bytes_.isNotNull(), _get(self.rank_table, bytes_))
+    def known(self, word: Column) -> Column:
+        return _get(self.tables["known"], self.bpe.known_size, word)
 
     def fold(self, word: Column) -> Column:
         """Ids of one word."""
@@ -104,8 +88,42 @@ class ByteBPE:
         times = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
         return let(start, lambda s: F.aggregate(times, s, step, lambda acc: F.transform(acc["parts"], self.rank)))
 
-    def word_ids(self, word: Column) -> Column:
-        return F.coalesce(_get(self.known, word), self.fold(word))
+    def encode(self, text: Column) -> Column:
+        """Ids of a text: array<int>."""
+        return F.flatten(F.transform(self.words(text), lambda w: F.coalesce(self.known(w), self.fold(w))))
+
+    def decode(self, ids: Column) -> Column:
+        """Bytes of ids; an id outside the vocabulary makes the result null."""
+        signs = F.transform(ids, lambda i: F.get(self.tables["pieces"], i))
+        return F.when(~F.exists(ids, lambda i: (i < 0) | (i >= self.bpe.size)), F.encode(F.array_join(signs, ""), "ISO-8859-1"))
+
+
+class ByteBPE:
+    """The tables of one vocabulary of ranks."""
+
+    def __init__(self, spark: SparkSession, path: str, pattern: str):
+        import pandas as pd
+
+        ranks = read_ranks(path)
+        self.pattern, self.size = "(?U)" + pattern, len(ranks)
+        if sorted(ranks.values()) != list(range(len(ranks))):
+            raise ValueError("ranks must be 0, 1, 2 ...")
+        rows = spark.createDataFrame(pd.DataFrame({"k": [k.decode("latin-1") for k in ranks], "v": list(ranks.values())}), "k string, v int")
+        self.vocabulary = stage(rows, "ranks")
+        self.rank_table, self.rank_size = _table(self.vocabulary, len(ranks))
+        self.piece_table = self.vocabulary.repartition(1).sortWithinPartitions("v").agg(F.collect_list("k").alias("t"))
+        whole = F.expr("try_validate_utf8(cast(encode(k, 'ISO-8859-1') as string))")
+        self.tokens = self.vocabulary.select(whole.alias("k"), F.array("v").alias("v")).where("k is not null")
+        self.known_table, self.known_size = _table(self.tokens, len(ranks))
+
+    def apply(self, df: DataFrame, kept: list[str], name: str, body: Callable[[Bound], Column]) -> DataFrame:
+        """``df`` with the columns ``kept`` and ``name``: an expression in which ``body`` sees the tables.
+
+        The optimizer puts the subqueries' values into the expression; no row ever carries a table.
+        """
+        tables = {"ranks": self.rank_table, "known": self.known_table, "pieces": self.piece_table}
+        wide = df.select("*", *[t.scalar().alias(f"_{k}") for k, t in tables.items()])
+        return wide.select(*kept, let(F.struct(*[F.col(f"_{k}").alias(k) for k in tables]), lambda t: body(Bound(self, t))).alias(name))
 
     def learn(self, docs: DataFrame, text: str = "text", cache_words: int = 100_000, cache_docs: int = 20_000) -> ByteBPE:
         """Put the ids of frequent words into the literal. Bounded by both arguments; other words are folded in place."""
@@ -113,24 +131,18 @@ class ByteBPE:
         some = docs.select(F.col(text).cast("string").alias("t"))
         if n > cache_docs:
             some = some.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < int(1_000_000 * cache_docs / n))
-        words = some.select(F.explode(F.array_distinct(self.words(F.col("t")))).alias("w")).where(F.length("w") <= 64).groupBy("w").agg(F.count("*").alias("n")).where("n >= 2")
-        new = words.where(_get(self.known, F.col("w")).isNull()).orderBy(F.desc("n"), "w").limit(cache_words)
-        found = [(r["w"], r["ids"]) for r in new.select("w", self.fold(F.col("w")).alias("ids")).toPandas().to_dict("records")]
-        self.known = _table(self.spark, [*self.tokens, *[(w, [int(i) for i in ids]) for w, ids in found]], "array<int>")
+        split = F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(self.pattern), F.lit(0))
+        words = some.select(F.explode(F.array_distinct(split)).alias("k")).where(F.length("k") <= 64).groupBy("k").agg(F.count("*").alias("n")).where("n >= 2")
+        top = words.join(self.tokens.select("k"), "k", "left_anti").orderBy(F.desc("n"), "k").limit(cache_words)
+        top = stage(top.repartition(partitions(docs.sparkSession)), "words")
+        folded = stage(self.apply(top, ["k"], "v", lambda b: b.fold(F.col("k"))), "words")
+        every = self.tokens.union(folded)
+        self.known_table, self.known_size = _table(stage(every, "words"), self.size + folded.count())
         return self
 
-    def encode(self, text: Column) -> Column:
-        """Ids of a text: array<int>."""
-        return F.flatten(F.transform(self.words(text), self.word_ids))
-
-    def decode(self, ids: Column) -> Column:
-        """Bytes of ids; an id outside the vocabulary makes the result null."""
-        signs = F.transform(ids, lambda i: F.get(self.pieces, i))
-        return F.when(~F.exists(ids, lambda i: (i < 0) | (i >= len(self.ranks))), F.encode(F.array_join(signs, ""), "ISO-8859-1"))
-
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, cache_words: int = 100_000, cache_docs: int = 20_000) -> DataFrame:
     """doc_id, ids and the decoded bytes of every text."""
     bpe = ByteBPE(docs.sparkSession, path, pattern).learn(docs, cache_words=cache_words, cache_docs=cache_docs)
-    ids = let(bpe.encode(F.col("text").cast("string")), lambda i: F.struct(i.alias("ids"), bpe.decode(i).alias("decoded")))
-    return docs.select("doc_id", ids.alias("e"))
+    both = lambda b: let(b.encode(F.col("text").cast("string")), lambda i: F.struct(i.alias("ids"), b.decode(i).alias("decoded")))
+    return bpe.apply(docs.select("doc_id", "text"), ["doc_id"], "e", both).select("doc_id", "e.*")

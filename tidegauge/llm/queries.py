@@ -61,11 +61,14 @@ def op8_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     bpe = ByteBPE(spark, RANKS, public_tokenizers.PATTERN).learn(docs)
 
-    def digest(ids):
-        decimal = F.array_join(ids.cast("array<string>"), " ")
-        return F.struct(F.size(ids).cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"))
+    def digest(bound):
+        def of(ids):
+            decimal = F.array_join(ids.cast("array<string>"), " ")
+            return F.struct(F.size(ids).cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2(bound.decode(ids), 256).alias("decoded_sha256"))
 
-    return docs.select("doc_id", let(bpe.encode(F.col("text")), digest).alias("d")).select("doc_id", "d.*")
+        return let(bound.encode(F.col("text")), of)
+
+    return bpe.apply(docs.select("doc_id", "text"), ["doc_id"], "d", digest).select("doc_id", "d.*")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

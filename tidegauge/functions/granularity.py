@@ -113,8 +113,9 @@ def finer_ranges(start: int, stop: int, g: Granularity) -> list[tuple[int, int]]
     return [(s, s + step - 1) for s in range(start, stop + 1, step)]
 
 
-def _provided(span: int) -> list[tuple[Granularity, int]]:
-    return [(g, span // (30_000 if g is FULL else g.ms)) for g in LADDER]
+def _provided(span: int) -> list[tuple[Granularity, float]]:
+    """Points that each granularity gives over a span; raw points are taken to come every 30 seconds."""
+    return [(g, span / (30_000 if g is FULL else g.ms)) for g in LADDER]
 
 
 def _alive(start: int, now: int, ttl_days: dict[str, int] | None) -> list[Granularity]:
@@ -128,7 +129,7 @@ def select_geometric(start: int, stop: int, points: int, now: int, ttl_days: dic
     for g, given in _provided(stop - start):
         if g not in alive:
             continue
-        ratio = float("inf") if given == 0 else max(points / given, given / points)
+        ratio = max(points / given, given / points)
         if least is not None and ratio >= least:
             break
         best, least = g, ratio
@@ -139,7 +140,7 @@ def select_linear(start: int, stop: int, points: int) -> Granularity:
     """Least difference between points asked for and given; stops where it stops falling."""
     best, least = FULL, None
     for g, given in _provided(stop - start):
-        diff = abs(points - given)
+        diff = int(abs(points - given))
         if least is not None and diff >= least:
             break
         best, least = g, diff

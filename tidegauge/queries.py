@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import granularity as G
-from .functions.scalars import SHARDS, locator, shard, string_hash
+from .functions.scalars import SHARDS, locator, metric_of, string_hash, tenant_of
 from .operators import ingest, rollups, search
 from .plans import maintenance, reading
 from .sources import tables
@@ -275,11 +275,11 @@ _ASK = "(VALUES " + ", ".join(f"({h}, {p})" for h, p in ASKED) + ") a(hours, poi
 
 
 def _walk(cost: str) -> str:
-    return f"c AS (SELECT hours, points, i, gran, ms, (hours * 3600000::BIGINT) // ms AS given, {cost} AS cost FROM {_ASK}, {_GRANS}), n AS (SELECT *, lead(cost) OVER (PARTITION BY hours, points ORDER BY i) AS nxt FROM c), w AS (SELECT hours, points, arg_min(gran, i) AS gran, min(i) AS i FROM n WHERE nxt IS NULL OR nxt >= cost GROUP BY ALL)"
+    return f"c AS (SELECT hours, points, i, gran, ms, (hours * 3600000::BIGINT) / ms::DOUBLE AS given, {cost} AS cost FROM {_ASK}, {_GRANS}), n AS (SELECT *, lead(cost) OVER (PARTITION BY hours, points ORDER BY i) AS nxt FROM c), w AS (SELECT hours, points, arg_min(gran, i) AS gran, min(i) AS i FROM n WHERE nxt IS NULL OR nxt >= cost GROUP BY ALL)"
 
 
-_GIVEN = "((hours * 3600000::BIGINT) // ms)"
-_GEO = f"CASE WHEN {_GIVEN} = 0 THEN 1e300 ELSE greatest(points * 1.0 / {_GIVEN}, {_GIVEN} * 1.0 / points) END"
+_GIVEN = "((hours * 3600000::BIGINT) / ms::DOUBLE)"
+_GEO = f"greatest(points / {_GIVEN}, {_GIVEN} / points)"
 
 
 @query(f"WITH {_walk(_GEO)} SELECT CAST(hours AS INT) AS hours, CAST(points AS INT) AS points, gran FROM w")
@@ -287,12 +287,12 @@ def gran_select_geometric(spark, d):
     return _choices(spark, lambda a, b, p: G.select_geometric(a, b, p, a))
 
 
-@query(f"WITH {_walk(f'abs(points - {_GIVEN})')} SELECT CAST(hours AS INT) AS hours, CAST(points AS INT) AS points, gran FROM w")
+@query(f"WITH {_walk(f'trunc(abs(points - {_GIVEN}))')} SELECT CAST(hours AS INT) AS hours, CAST(points AS INT) AS points, gran FROM w")
 def gran_select_linear(spark, d):
     return _choices(spark, G.select_linear)
 
 
-@query(f"WITH {_walk(f'abs(points - {_GIVEN})')} SELECT CAST(w.hours AS INT) AS hours, CAST(w.points AS INT) AS points, g2.gran FROM w JOIN c USING (hours, points, i) JOIN {_GRANS.replace(' g(', ' g2(')} ON g2.i = least(5, w.i + CASE WHEN c.given > w.points THEN 1 ELSE 0 END)")
+@query(f"WITH {_walk(f'trunc(abs(points - {_GIVEN}))')} SELECT CAST(w.hours AS INT) AS hours, CAST(w.points AS INT) AS points, g2.gran FROM w JOIN c USING (hours, points, i) JOIN {_GRANS.replace(' g(', ' g2(')} ON g2.i = least(5, w.i + CASE WHEN c.given > w.points THEN 1 ELSE 0 END)")
 def gran_select_lte(spark, d):
     return _choices(spark, G.select_less_than_equal)
 
@@ -301,7 +301,7 @@ RS, RE = T0 + 5 * DAY + 100_000, T0 + 8 * DAY + 200_000
 _H = 3_600_000
 
 
-def _repair(kept_sql: str, kept: Callable[[DataFrame], DataFrame], name: str) -> None:
+def _repair(name: str, kept_sql: str) -> None:
     """Stored: 60-minute rollups of which only some are kept, and spoilt (count + 1000) to be told apart."""
     first = RS - RS % _H
     comp = f"comp AS (SELECT {KEYED}, {B(_H)} AS bucket_ms, count(*) AS count, round(avg(v), 4) AS average FROM ev WHERE ts_ms >= {first} AND ts_ms < {RE - RE % _H + _H} GROUP BY ALL)"
@@ -314,18 +314,17 @@ def _repair(kept_sql: str, kept: Callable[[DataFrame], DataFrame], name: str) ->
 
     def f(spark, d):
         p = ev(spark, d)
-        stored = kept(rollups.double_basic_from_raw(p, G.MIN_60).withColumn("count", F.col("count") + 1000))
+        stored = rollups.double_basic_from_raw(p, G.MIN_60).withColumn("count", F.col("count") + 1000).where(kept_sql)
         return reading.repair(stored, p, G.MIN_60, RS, RE).select(*rollups.KEYS, "count", r(rollups.average(), "average"))
 
     f.__name__ = name
     query(sql)(f)
 
 
-_b = F.col("bucket_ms")
-_repair(f"bucket_ms >= {T0 + 6 * DAY}", lambda s: s.where(_b >= T0 + 6 * DAY), "repair_left")
-_repair(f"bucket_ms < {T0 + 7 * DAY}", lambda s: s.where(_b < T0 + 7 * DAY), "repair_right")
-_repair("false", lambda s: s.where("false"), "repair_all")
-_repair(f"bucket_ms < {T0 + 6 * DAY} OR bucket_ms >= {T0 + 7 * DAY}", lambda s: s.where((_b < T0 + 6 * DAY) | (_b >= T0 + 7 * DAY)), "repair_interior_hole_kept")
+_repair("repair_left", f"bucket_ms >= {T0 + 6 * DAY}")
+_repair("repair_right", f"bucket_ms < {T0 + 7 * DAY}")
+_repair("repair_all", "false")
+_repair("repair_interior_hole_kept", f"bucket_ms < {T0 + 6 * DAY} OR bucket_ms >= {T0 + 7 * DAY}")
 
 
 @query(f"WITH {EV} SELECT {KEYED}, {B(1_200_000)} AS timestamp, round(avg(v), 4) AS average, count(*) AS numPoints, CASE WHEN metric = 'app.click' THEN 'clicks' ELSE 'unknown' END AS unit FROM ev WHERE tenant_id = 't3' AND metric IN ('app.click', 'app.view') AND ts_ms >= {T0 + 2 * DAY} AND ts_ms < {T0 + 4 * DAY + 1_200_000} GROUP BY ALL")
@@ -616,8 +615,6 @@ def shard_filter(spark, d):
 
 @query(f"WITH {EV} SELECT tenant_id || '.' || metric AS locator, tenant_id, metric FROM (SELECT DISTINCT {KEYED} FROM ev)")
 def locator_split(spark, d):
-    from .functions.scalars import metric_of, tenant_of
-
     keys = ev(spark, d).select(locator(F.col("tenant_id"), F.col("metric")).alias("locator")).distinct()
     return keys.select("locator", tenant_of(F.col("locator")).alias("tenant_id"), metric_of(F.col("locator")).alias("metric"))
 
@@ -631,5 +628,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = level if out is None else out.unionByName(level)
     return search.with_units(out, meta)
 
-
-__all__ = ["QUERIES", "SQL", "flagship", "shard"]

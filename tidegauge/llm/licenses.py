@@ -7,8 +7,7 @@ calibrated by a temperature fitted on variants held out from the training. A par
 likely family if that is likelier than unknown and reaches ``least``; a template comparison confirms it: some notice of the family must
 have at least ``overlap`` of its words in the paragraph, in whatever order.
 
-A line without any of the anchor words below holds none of the n-grams that speak for a family, and is unknown by the model's
-bias alone; such lines are not scored.
+A line without any of the anchor words below, of which every notice has one, is unknown; such lines are not scored.
 
 Defined results: null and empty texts have no findings; a line with two notices counts for the likelier family; repeated rows are
 scanned each; letters' case and punctuation do not matter.
@@ -44,7 +43,7 @@ NOTICES = {
 }
 # Sentences near licences that are none.
 OTHERS = ["The licensed driver took the bus to the airport", "She studied physics at MIT and moved west", "He renewed his fishing license in version two of the form", "The general public was not admitted", "The common attribution of the painting is wrong", "An Apache helicopter landed near the town", "Permission to land was granted by the tower", "The pub lost its license to sell drinks", "All seats reserved for guests", "Free software updates arrive every month", "Please read the terms of service before use", "Copyright law is taught in the second year", "He works under license from a German maker", "The license plate was stolen", "A warranty covers parts and labour", "The source of the river is in the north", "Their work was released in the spring", "Public domain knowledge is not a secret here", "The hunting licence costs ten pounds", "Version 2.0 of the game is out now"]
-ANCHOR = r"(?i)licen[cs]e|spdx|permission|public domain|creative commons|redistribut|proprietary|mozilla public|eclipse public|reproduced|\b[al]?gpl"
+ANCHOR = r"(?i)licen[cs]|spdx|permission|public domain|creative commons|redistribut|propriet|gnu |mozilla|eclipse|reproduced|rights reserved|confidential|unencumbered|\b[al]?gpl"
 FAMILIES = [*NOTICES]
 UNKNOWN = len(FAMILIES)
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"

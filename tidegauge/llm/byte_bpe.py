@@ -1,17 +1,18 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions (operator 8).
 
-A text is cut into words by the published pattern. A word's bytes are folded: the state is the list of parts and, for each
-part, the rank of its union with the next; each step unites the leftmost pair of lowest rank, until no union has one. Byte strings are
-kept as Latin-1 strings, in which each character is a byte. Ranks are a literal of the plan (a scalar subquery, which the engine
-replaces by its value before the query runs): an array of small maps, in which a hash of the key picks the map, so that a look-up does not walk
+A text is cut into words by the published pattern. A word's bytes are folded: the state is the list of parts (as ids) and, for each
+part, the rank of its union with the next; each step unites the leftmost pair of lowest rank, until no union has one. Ranks are a
+literal of the plan (a scalar subquery, which the engine replaces by its value before the query runs): from a pair of ids to the rank of
+their union, which is the united part's id. It is an array of small maps, in which a hash of the pair picks the map, so that a look-up does not walk
 through the vocabulary. The literal is bound to a lambda variable once for each row, so the plan holds one copy of it.
 
 A word that is a token itself needs no fold, and words that are frequent need only one: a second literal holds the ids of all tokens and of up to
 ``cache_words`` distinct words, folded once, that are frequent in about ``cache_docs`` documents chosen by a hash. This cache only saves work:
 every word that it lacks is folded where it stands, so results do not depend on it.
 
-Decoding joins the byte strings of the ids. Defined results: null and empty texts have no ids; repeated rows are encoded each.
-A word costs the square of its length, which is short in prose; one unbroken word of some 100,000 letters takes minutes.
+Decoding joins the byte strings of the ids (kept as Latin-1 strings, in which each character is a byte). Defined results: null and empty
+texts have no ids; repeated rows are encoded each. A word costs the square of its length, which is short in prose; one unbroken word of some
+100,000 letters takes minutes.
 """
 
 from __future__ import annotations
@@ -45,6 +46,10 @@ def _table(entries: DataFrame, n: int) -> tuple[DataFrame, int]:
     return every.repartition(1).sortWithinPartitions("id").agg(F.collect_list("m").alias("t")), size
 
 
+def _pair(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))
+
+
 def _get(table: Column, size: int, key: Column) -> Column:
     return F.try_element_at(F.get(table, _hash(key, size).cast("int")), key)
 
@@ -58,35 +63,37 @@ class Bound:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.bpe.pattern), F.lit(0))
 
-    def rank(self, signs: Column) -> Column:
-        return F.when(signs.isNotNull(), _get(self.tables["ranks"], self.bpe.rank_size, signs))
+    def union(self, a: Column, b: Column) -> Column:
+        """Rank, that is the id, of two parts' union; null if it is no token or a part is missing."""
+        return _get(self.tables["pairs"], self.bpe.pair_size, _pair(a, b))
 
     def known(self, word: Column) -> Column:
         return _get(self.tables["known"], self.bpe.known_size, word)
 
     def fold(self, word: Column) -> Column:
         """Ids of one word."""
-        signs = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        ranks = lambda p: F.transform(p, lambda x, i: self.rank(F.concat(x, F.get(p, i + 1))))
-        start = let(F.regexp_extract_all(signs, F.lit("(?s)."), F.lit(0)), lambda p: F.struct(p.alias("parts"), ranks(p).alias("ranks")))
-
-        def merge(acc: Column, at: Column) -> Column:
-            """at: place of the left part, from 1."""
-            parts, old = acc["parts"], acc["ranks"]
-            one = F.concat(F.get(parts, at - 1), F.get(parts, at))
-            rest = F.greatest(F.size(parts) - at - 1, F.lit(0))
-            before = F.when(at > 1, F.concat(F.slice(old, F.lit(1), F.greatest(at - 2, F.lit(0))), F.array(self.rank(F.concat(F.get(parts, at - 2), one))))).otherwise(F.slice(old, F.lit(1), F.lit(0)))
+        signs = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+        parts = F.transform(signs, lambda c: F.get(self.tables["bytes"], F.ascii(c)))
+        start = let(parts, lambda p: F.struct(p.alias("parts"), F.transform(p, lambda x, i: self.union(x, F.get(p, i + 1))).alias("ranks")))
+
+        def merge(acc: Column, low: Column, at: Column) -> Column:
+            """at: place of the left part, from 1; low: the rank, which is the united part."""
+            p, old = acc["parts"], acc["ranks"]
+            rest = F.greatest(F.size(p) - at - 1, F.lit(0))
+            before = F.when(at > 1, F.concat(F.slice(old, F.lit(1), at - 2), F.array(self.union(F.get(p, at - 2), low)))).otherwise(F.slice(old, F.lit(1), F.lit(0)))
             return F.struct(
-                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(one), F.slice(parts, at + 2, rest)).alias("parts"),
-                F.concat(before, F.array(self.rank(F.concat(one, F.get(parts, at + 1)))), F.slice(old, at + 2, rest)).alias("ranks"),
+                F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, rest)).alias("parts"),
+                F.concat(before, F.array(self.union(low, F.get(p, at + 1))), F.slice(old, at + 2, rest)).alias("ranks"),
             )
 
         def step(acc: Column, _: Column) -> Column:
-            low = F.array_min(acc["ranks"])
-            return F.when(low.isNull(), acc).otherwise(let(F.array_position(acc["ranks"], low).cast("int"), lambda at: merge(acc, at)))
+            # rank and place in one number: array_position leaves its loop by an exception, which costs more than all else here
+            placed = F.array_min(F.transform(acc["ranks"], lambda x, i: F.shiftleft(x.cast("long"), 32).bitwiseOR((i + 1).cast("long"))))
+            found = lambda low: F.when(low.isNull(), acc).otherwise(merge(acc, F.shiftright(low, 32).cast("int"), low.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+            return let(placed, found)
 
-        times = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-        return let(start, lambda s: F.aggregate(times, s, step, lambda acc: F.transform(acc["parts"], self.rank)))
+        times = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
+        return let(start, lambda s: F.aggregate(times, s, step, lambda acc: acc["parts"]))
 
     def encode(self, text: Column) -> Column:
         """Ids of a text: array<int>."""
@@ -95,7 +102,8 @@ class Bound:
     def decode(self, ids: Column) -> Column:
         """Bytes of ids; an id outside the vocabulary makes the result null."""
         signs = F.transform(ids, lambda i: F.get(self.tables["pieces"], i))
-        return F.when(~F.exists(ids, lambda i: (i < 0) | (i >= self.bpe.size)), F.encode(F.array_join(signs, ""), "ISO-8859-1"))
+        inside = F.coalesce((F.array_min(ids) >= 0) & (F.array_max(ids) < self.bpe.size), F.size(ids) == 0)
+        return F.when(inside, F.encode(F.array_join(signs, ""), "ISO-8859-1"))
 
 
 class ByteBPE:
@@ -106,11 +114,17 @@ class ByteBPE:
 
         ranks = read_ranks(path)
         self.pattern, self.size = "(?U)" + pattern, len(ranks)
-        if sorted(ranks.values()) != list(range(len(ranks))):
-            raise ValueError("ranks must be 0, 1, 2 ...")
+        if sorted(ranks.values()) != list(range(len(ranks))) or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("ranks must be 0, 1, 2 ... and hold every byte")
         rows = spark.createDataFrame(pd.DataFrame({"k": [k.decode("latin-1") for k in ranks], "v": list(ranks.values())}), "k string, v int")
         self.vocabulary = stage(rows, "ranks")
-        self.rank_table, self.rank_size = _table(self.vocabulary, len(ranks))
+        # every way to cut a token into two tokens: the vocabulary joined with its prefixes and suffixes
+        cuts = self.vocabulary.select("v", "k", F.explode(F.sequence(F.lit(1), F.greatest(F.length("k") - 1, F.lit(1)))).alias("n")).where("n < length(k)")
+        cuts = cuts.select("v", F.substring("k", F.lit(1), F.col("n")).alias("a"), F.substring("k", F.col("n") + 1, F.length("k")).alias("b"))
+        left, right = (self.vocabulary.select(F.col("k").alias(c), F.col("v").alias(f"i{c}")) for c in "ab")
+        pairs = stage(cuts.join(left, "a").join(right, "b").select(_pair(F.col("ia"), F.col("ib")).alias("k"), "v"), "pairs")
+        self.pair_table, self.pair_size = _table(pairs, pairs.count())
+        self.byte_table = spark.createDataFrame([([ranks[bytes([b])] for b in range(256)],)], "t array<int>").coalesce(1)
         self.piece_table = self.vocabulary.repartition(1).sortWithinPartitions("v").agg(F.collect_list("k").alias("t"))
         whole = F.expr("try_validate_utf8(cast(encode(k, 'ISO-8859-1') as string))")
         self.tokens = self.vocabulary.select(whole.alias("k"), F.array("v").alias("v")).where("k is not null")
@@ -121,11 +135,11 @@ class ByteBPE:
 
         The optimizer puts the subqueries' values into the expression; no row ever carries a table.
         """
-        tables = {"ranks": self.rank_table, "known": self.known_table, "pieces": self.piece_table}
+        tables = {"pairs": self.pair_table, "bytes": self.byte_table, "known": self.known_table, "pieces": self.piece_table}
         wide = df.select("*", *[t.scalar().alias(f"_{k}") for k, t in tables.items()])
         return wide.select(*kept, let(F.struct(*[F.col(f"_{k}").alias(k) for k in tables]), lambda t: body(Bound(self, t))).alias(name))
 
-    def learn(self, docs: DataFrame, text: str = "text", cache_words: int = 100_000, cache_docs: int = 20_000) -> ByteBPE:
+    def learn(self, docs: DataFrame, text: str = "text", cache_words: int = 200_000, cache_docs: int = 40_000) -> ByteBPE:
         """Put the ids of frequent words into the literal. Bounded by both arguments; other words are folded in place."""
         n = docs.count()
         some = docs.select(F.col(text).cast("string").alias("t"))
@@ -141,7 +155,7 @@ class ByteBPE:
         return self
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, cache_words: int = 100_000, cache_docs: int = 20_000) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, cache_words: int = 200_000, cache_docs: int = 40_000) -> DataFrame:
     """doc_id, ids and the decoded bytes of every text."""
     bpe = ByteBPE(docs.sparkSession, path, pattern).learn(docs, cache_words=cache_words, cache_docs=cache_docs)
     both = lambda b: let(b.encode(F.col("text").cast("string")), lambda i: F.struct(i.alias("ids"), b.decode(i).alias("decoded")))

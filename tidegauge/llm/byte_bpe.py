@@ -54,6 +54,11 @@ def _get(table: Column, size: int, key: Column) -> Column:
     return F.try_element_at(F.get(table, _hash(key, size).cast("int")), key)
 
 
+NO_RANK = 0x7FFFFFFF
+LOW = 0xFFFFFFFF
+HIGH = NO_RANK << 32
+
+
 class Bound:
     """Expressions over the tables of one row's scope."""
 
@@ -70,30 +75,34 @@ class Bound:
     def known(self, word: Column) -> Column:
         return _get(self.tables["known"], self.bpe.known_size, word)
 
+    def _part(self, x: Column) -> Column:
+        return (x.bitwiseAND(F.lit(LOW)) - 1).cast("int")
+
+    def _pack(self, rank: Column, part: Column) -> Column:
+        return F.shiftleft(F.coalesce(rank, F.lit(NO_RANK)).cast("long"), 32).bitwiseOR((part + 1).cast("long"))
+
     def fold(self, word: Column) -> Column:
-        """Ids of one word."""
+        """Ids of one word. The state is one array of longs: a part, and above it the rank of its union with the next.
+
+        An element that stands for nothing comes first, so that every part has one before it.
+        """
         signs = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        parts = F.transform(signs, lambda c: F.get(self.tables["bytes"], F.ascii(c)))
-        start = let(parts, lambda p: F.struct(p.alias("parts"), F.transform(p, lambda x, i: self.union(x, F.get(p, i + 1))).alias("ranks")))
-
-        def merge(acc: Column, low: Column, at: Column) -> Column:
-            """at: place of the left part, from 1; low: the rank, which is the united part."""
-            p, old = acc["parts"], acc["ranks"]
-            rest = F.greatest(F.size(p) - at - 1, F.lit(0))
-            before = F.when(at > 1, F.concat(F.slice(old, F.lit(1), at - 2), F.array(self.union(F.get(p, at - 2), low)))).otherwise(F.slice(old, F.lit(1), F.lit(0)))
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), at - 1), F.array(low), F.slice(p, at + 2, rest)).alias("parts"),
-                F.concat(before, F.array(self.union(low, F.get(p, at + 1))), F.slice(old, at + 2, rest)).alias("ranks"),
-            )
+        parts = F.concat(F.array(F.lit(-1)), F.transform(signs, lambda c: F.get(self.tables["bytes"], F.ascii(c))))
+        start = let(parts, lambda p: F.transform(p, lambda x, i: self._pack(self.union(x, F.get(p, i + 1)), x)))
+
+        def merge(acc: Column, one: Column, at: Column) -> Column:
+            """The parts at places at and at + 1 (from 0) become ``one``; the ranks on both sides follow."""
+            before = self._part(F.get(acc, at - 1))
+            new = F.array(self._pack(self.union(before, one), before), self._pack(self.union(one, self._part(F.get(acc, at + 2))), one))
+            return F.concat(F.slice(acc, F.lit(1), at - 1), new, F.slice(acc, at + 3, F.size(acc)))
 
         def step(acc: Column, _: Column) -> Column:
             # rank and place in one number: array_position leaves its loop by an exception, which costs more than all else here
-            placed = F.array_min(F.transform(acc["ranks"], lambda x, i: F.shiftleft(x.cast("long"), 32).bitwiseOR((i + 1).cast("long"))))
-            found = lambda low: F.when(low.isNull(), acc).otherwise(merge(acc, F.shiftright(low, 32).cast("int"), low.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-            return let(placed, found)
+            lowest = F.array_min(F.transform(acc, lambda x, i: x.bitwiseAND(F.lit(HIGH)).bitwiseOR(i.cast("long"))))
+            return let(lowest, lambda low: F.when(low >= NO_RANK << 32, acc).otherwise(merge(acc, F.shiftright(low, 32).cast("int"), low.bitwiseAND(F.lit(LOW)).cast("int"))))
 
         times = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-        return let(start, lambda s: F.aggregate(times, s, step, lambda acc: acc["parts"]))
+        return let(start, lambda s: F.aggregate(times, s, step, lambda acc: F.transform(F.slice(acc, F.lit(2), F.size(acc)), self._part)))
 
     def encode(self, text: Column) -> Column:
         """Ids of a text: array<int>."""

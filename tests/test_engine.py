@@ -178,3 +178,14 @@ def test_throttle_and_units(spark):
     assert ingest.throttle(new, known, per_minute=5, per_tenant=3).count() == 5
     w = spark.createDataFrame([("t", "m", 1, "s"), ("t", "m", 2, None), ("t", "m", 3, "ms")], "tenant_id string, metric string, ts_ms bigint, unit string")
     assert [tuple(r) for r in ingest.unit_changes(w).collect()] == [("t", "m", 3, "s", "ms")]
+
+
+def test_config_and_modules(spark):
+    from tidegauge import config
+
+    assert config.EngineConfig().ttl_days["60m"] == 155 and config.EngineConfig(shards=4).shards == 4
+    index = spark.createDataFrame([("t", "a.b", None)], META)
+    for name in ("by_aggregation", "by_tokens"):
+        assert [tuple(r) for r in config.module("names", name)(index, "t", "a.*").collect()] == [("a.b", True)]
+    with pytest.raises(ValueError):
+        config.register("nosuch", "x", None)

@@ -84,3 +84,15 @@ def search_events(events: DataFrame, tenant: str, tags: str | None = None, start
 def with_units(df: DataFrame, metadata: DataFrame) -> DataFrame:
     """Left join on the series; "unknown" where no unit is known."""
     return df.join(metadata.select("tenant_id", "metric", F.col("unit").alias("_u")), ["tenant_id", "metric"], "left").withColumn("unit", F.coalesce("_u", F.lit("unknown"))).drop("_u")
+
+
+def _register() -> None:
+    from ..config import register
+
+    register("names", "by_aggregation", names_at_level)
+    register("names", "by_tokens", lambda index, tenant, query: search_tokens(path_tokens(index), tenant, query))
+    register("events", "default", search_events)
+    register("discovery", "default", search)
+
+
+_register()

@@ -13,7 +13,7 @@ from .functions.scalars import SHARDS, locator, metric_of, string_hash, tenant_o
 from .operators import ingest, rollups, search
 from .plans import maintenance, reading
 from .sources import tables
-from .streaming import slots
+from .streaming import flow, slots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -576,6 +576,13 @@ def delayed_locators(spark, d):
     return slots.delayed_locators(ev(spark, d), NOW)
 
 
+@query(f"WITH {EV}, {_SLOTS}, dl AS (SELECT DISTINCT CAST(1008 * ((ts_ms % {G.CYCLE_MS}) // {G.SLOT_MS}) // {G.BASE_SLOTS} AS INT) AS s20, {KEYED}, {_SHARD} AS shard FROM ev WHERE {NOW} - ts_ms > 300000), w AS (SELECT DISTINCT slot, shard FROM st WHERE gran = '60m') SELECT DISTINCT '60m' AS gran, w.slot, w.shard, {KEYED} FROM w JOIN dl ON dl.shard = w.shard AND dl.s20 // 3 = w.slot")
+def reroll_locators(spark, d):
+    p = ev(spark, d)
+    due = slots.mark_dirty(p).where("gran = '60m'")
+    return slots.reroll_locators(slots.delayed_locators(p, NOW), due)
+
+
 @query(f"WITH {EV} SELECT {KEYED}, {B(_H)} AS bucket_ms, {STATS} FROM ev GROUP BY ALL")
 def delayed_reroll(spark, d):
     p = ev(spark, d).withColumn("late", F.pmod(F.xxhash64("ts_ms"), F.lit(20)) == 0)
@@ -619,6 +626,25 @@ def locator_split(spark, d):
     return keys.select("locator", tenant_of(F.col("locator")).alias("tenant_id"), metric_of(F.col("locator")).alias("metric"))
 
 
+_CLOSED = "(SELECT max(ts_ms) FROM ev) - 600000"
+
+
+@query(f"WITH {EV}, b AS (SELECT {KEYED}, {B(300_000)} AS bucket_ms, count(*) AS count, round(avg(v), 4) AS average, round(sum(v), 4) AS sum FROM ev GROUP BY ALL) SELECT * FROM b WHERE bucket_ms <= {_CLOSED}")
+def stream_5m(spark, d):
+    """The points as a stream, read to its end: windows that the watermark has passed."""
+    import tempfile
+    import uuid
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(e.schema).parquet(f"{d}/event[s].parquet")  # a pattern: a stream takes a folder or a pattern, not one file
+    points = stream.select(F.concat(F.lit("t"), F.col("user_id") % 8).alias("tenant_id"), F.concat(F.lit("app."), "event_type").alias("metric"), F.timestamp_millis(tables._ms("ts")).alias("ts"), F.col("value").alias("v_double"))
+    name = f"closed_{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='stream-')}"
+    run = flow.windowed(points).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(*rollups.KEYS, "count", r("avg_double", "average"), r("sum"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ladder up to a day, one tenant, with units."""
     p = ev(spark, sf_dir).where("tenant_id = 't1'")

@@ -30,7 +30,7 @@ def docs_of(spark, texts, ids=None):
 
 def clash(df):
     """Extra columns with names that the operators use inside."""
-    for c in ("_part", "_guest", "tie", "next", "cls", "keys", "label2", "bucket", "rank", "spans", "base", "key", "shard", "fingerprint", "quality_score2"):
+    for c in ("_part", "_guest", "tie", "next", "cls", "keys", "label2", "bucket", "rank", "spans", "base", "key", "shard", "fingerprint", "quality_score", "_d", "_t", "_s", "_n", "_l", "_x", "node", "component"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -161,7 +161,7 @@ def test_ngram_bound_is_never_below_the_overlap():
 
 def test_keep_one(spark):
     texts = families(4, [6, 3], 60, 1) + ["", None, "solo text of its own"]
-    docs = docs_of(spark, texts).withColumn("extra", F.lit(1))
+    docs = clash(docs_of(spark, texts))
     kept = ngrams.keep_one(docs)
     want = brute_components(texts, 5, 80, 100)
     assert kept.columns == docs.columns
@@ -293,7 +293,7 @@ def test_secret_linking(spark):
 
 
 def test_redaction(spark):
-    docs = docs_of(spark, SECRET_TEXTS).withColumn("extra", F.lit(2))
+    docs = clash(docs_of(spark, SECRET_TEXTS))
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == len(SECRET_TEXTS)
     for r in out.collect():

@@ -177,10 +177,9 @@ def train(docs: DataFrame, sample: int = 6000) -> np.ndarray:
     return fit_scorer(np.stack([np.frombuffer(x, np.float16) for x in got["x"]]).astype(np.float32), y)
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The documents with ``quality_score``, the chance that they are good; all their columns stay."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "quality_score") -> DataFrame:
+    """The documents with a column ``name``, the chance that they are good; all their columns stay."""
     w, bias = weights[:-1].astype(np.float32), float(weights[-1])
-    name = "quality_score"
     out_schema = docs.select("*", F.lit(0.0).alias(name)).schema
     at = docs.columns.index("text")
 
@@ -204,4 +203,4 @@ def classify(docs: DataFrame, sample: int = 6000, threshold: float = 0.5) -> Dat
 
 def keep_good(docs: DataFrame, sample: int = 6000, threshold: float = 0.5) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
-    return score(docs, train(docs, sample)).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    return score(docs, train(docs, sample), "__llm_score").where(F.col("__llm_score") >= threshold).select(*docs.columns)

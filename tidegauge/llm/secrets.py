@@ -97,18 +97,18 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = 300) -> DataFra
 
     All columns stay as they are otherwise. Overlapping spans become one mask.
     """
-    found = scan(docs, scope).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.concat("base", F.filter("linked", lambda s: s["ord"] == KINDS.index("weak_key"))).alias("_s"))
-    hit = found.where(F.size("_s") > 0).dropDuplicates(["_d", "_t"])
-    joined = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text")) == F.col("_t")), "left")
+    found = scan(docs, scope).select(F.col("doc_id").alias("__llm_d"), F.col("text_hash").alias("__llm_t"), F.concat("base", F.filter("linked", lambda s: s["ord"] == KINDS.index("weak_key"))).alias("__llm_s"))
+    hit = found.where(F.size("__llm_s") > 0).dropDuplicates(["__llm_d", "__llm_t"])
+    joined = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__llm_d")) & (F.xxhash64(F.col("text")) == F.col("__llm_t")), "left")
 
     def step(acc: Column, s: Column) -> Column:
         added = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], added).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(F.sort_array("_s"), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col("_s").isNull(), F.col("text")).otherwise(whole)
+    whole = F.aggregate(F.sort_array("__llm_s"), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    text = F.when(F.col("__llm_s").isNull(), F.col("text")).otherwise(whole)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_s").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__llm_s").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -36,11 +36,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode every text, add the end id and cut what is longer than ``capacity``."""
+def piece_table(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text", cache: int = 900_000) -> DataFrame:
+    """Encode every text, add the end id and cut what is longer than ``capacity``; a worker keeps ``cache`` words."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, cache)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part, rows = batch.slice(at, 500), []
@@ -135,6 +135,6 @@ def pack(pieces: DataFrame, capacity: int = 1024, buckets: int | None = None) ->
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("rank_from")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, cache: int = 900_000) -> DataFrame:
     """All documents as pieces with their sequence and offset. The encoded pieces' figures are staged once."""
-    return pack(stage(piece_table(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)
+    return pack(stage(piece_table(docs, tokenizer_path, capacity, end_id, cache=cache), "pieces"), capacity)

@@ -76,7 +76,7 @@ class _Shapes(dict):
             if run <= (2 if k in "Aa0" else 3):
                 shape.append(k)
         number = xxhash.xxh32_intdigest("".join(shape))
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = number
         return number

@@ -127,8 +127,9 @@ class ChunkEncoder:
         return [self._one(t) for t in texts]
 
 
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each worker process and file."""
+def encoder(path: str, limit: int = 900_000) -> ChunkEncoder:
+    """One encoder for each worker process and file; ``limit`` bounds the chunks that it keeps."""
     if path not in _LOADED:
         _LOADED[path] = ChunkEncoder(path)
+    _LOADED[path].rest.limit = limit
     return _LOADED[path]

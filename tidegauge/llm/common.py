@@ -1,12 +1,10 @@
-"""Shared helpers of the corpus operators: staging tables, fixed-size arithmetic and Arrow plumbing."""
+"""Shared helpers of the corpus operators: staging tables in the shared folder, and binding of values in expressions."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,27 +59,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(each, schema)
-
-
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that ``column`` holds about ``limit`` bytes at most (one very long row stays whole)."""
-    for batch in batches:
-        start, held, sizes = 0, 0, batch.column(column)
-        if sizes.nbytes <= limit:
-            yield batch
-            continue
-        import pyarrow.compute as pc
-
-        for i, n in enumerate(pc.fill_null(pc.binary_length(sizes), 0).to_pylist()):
-            if held and held + n > limit:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += n
-        yield batch.slice(start)
-
-
 def let(value, body):
     """Evaluate ``value`` once per row and bind it: lambda variables are never inlined, so no re-evaluation per element."""
     return F.element_at(F.transform(F.array(value), body), 1)

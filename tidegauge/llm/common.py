@@ -46,9 +46,12 @@ def unstage(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let the driver drop plans that nothing refers to, so that the shuffle files of staged tables go at once."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first pass frees what holds the plans, the second the plans
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:

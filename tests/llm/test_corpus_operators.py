@@ -159,6 +159,38 @@ def test_ngram_bound_is_never_below_the_overlap():
         assert (half == ngrams.bitmap(a, w // 2)).all()
 
 
+def contained(seed, lengths):
+    """Texts with the same one cut at either end, and with words appended, by shares about the threshold."""
+    r, texts = random.Random(seed), []
+    word = lambda: "".join(r.choice("abdeghilmnorstu") for _ in range(r.randint(3, 9)))
+    for n in lengths:
+        for share in (0.01, 0.03, 0.06, 0.09, 0.15, 0.3):
+            words, k = [word() for _ in range(n)], max(1, int(n * share))
+            texts += [" ".join(w) for w in (words, r.choice([words[:-k], words[k:], words + [word() for _ in range(k)]]))]
+    return texts
+
+
+@pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 80, 100)])
+def test_ngram_components_of_contained_texts(spark, n, num, den):
+    texts = contained(n, [100, 100, 100, 500, 500, 5000])
+    want = brute_components(texts, n, num, den)
+    assert sum(c != i for i, (_, c) in want.items()) > 15
+    got = ngrams.jaccard_components(docs_of(spark, texts), n, num, den, block=8)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("size", [100, 500, 5000])
+def test_ngram_bound_lets_contained_sets_pass(size):
+    r = np.random.default_rng(size)
+    for _ in range(50):
+        b = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+        a = b[: len(b) - int(r.integers(1, size // 11))]
+        wide, narrow = (ngrams.bitmap(x, ngrams.width_of(len(x))) for x in (b, a))
+        words = min(len(wide), len(narrow))
+        d = int(np.bitwise_count(ngrams.folded(wide, words) ^ ngrams.folded(narrow, words)).sum())
+        assert ngrams.may_reach(len(a), len(b), d, 90, 100) == ngrams.reaches(a, b, 90, 100) == True  # noqa: E712
+
+
 def test_keep_one(spark):
     texts = families(4, [6, 3], 60, 1) + ["", None, "solo text of its own"]
     docs = clash(docs_of(spark, texts))

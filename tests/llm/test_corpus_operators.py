@@ -202,6 +202,26 @@ def test_keep_one(spark):
     assert ngrams.keep_one(docs.where("false")).count() == 0
 
 
+def test_ngram_texts_that_share_a_doc_id(spark):
+    """Every row counts with its own text, also where doc_ids repeat or are null."""
+    r = random.Random(6)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(k)] for k in (60, 70, 80, 90)]
+    near = [" ".join(w[:-1] + ["changed"]) for w in base]
+    texts = [" ".join(w) for w in base] + near + ["alone with its own words " * 3, near[2]]
+    ids = [5, 5, None, None, 7, 5, 8, None, 7, None]
+    docs = docs_of(spark, texts, ids)
+    want, high = brute_components(texts, 5, 80, 100), (1 << 63) - 1
+    groups = defaultdict(list)
+    for i, (_, c) in want.items():
+        groups[c].append(ids[i] if ids[i] is not None else high)
+    named = [(ids[i], size, min(groups[c]) if min(groups[c]) < high else ids[i]) for i, (size, c) in want.items()]
+    assert sorted(map(str, named)) == sorted(str((x.doc_id, x.n_shingles, x.component_id)) for x in ngrams.jaccard_components(docs, 5, 80, 100).collect())
+    kept = [(x.doc_id, x.text) for x in ngrams.keep_one(docs).collect()]
+    assert (7, texts[8]) in kept and (7, texts[4]) not in kept and (8, texts[6]) in kept  # 7 is a near copy of 5 with one text, alone with the other
+    assert sum(x in ((5, texts[1]), (5, texts[5])) for x in kept) == 1 and (5, texts[0]) in kept
+    assert sum(k is None for k, _ in kept) == 4 and len(kept) == 8
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 40)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(90)] + [(7, 7)]

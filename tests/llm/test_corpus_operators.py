@@ -493,6 +493,28 @@ def test_license_scores_match_plain_python(spark):
         assert got[i].family == family and got[i].probability == pytest.approx(p, abs=1e-6)
 
 
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "public-domain": "This work is dedicated to the public\ndomain",
+}
+
+
+def test_wrapped_licenses(spark):
+    texts, want = [], []
+    for family, notice in WRAPPED.items():
+        for sign in ("", " * ", "# "):
+            marked = "\n".join(sign + x for x in notice.split("\n"))
+            texts += [marked, f"{sign}Copyright 2020 Some One\n{marked}\nint main() {{ return 0; }}", "one line of prose before\n" * 40 + f"\n{marked}\n\nmore prose after"]
+            want += [[(0, family)], [(1, family)], [(41, family)]]
+    texts += ["SPDX-License-Identifier: MIT\n" + WRAPPED["gpl"], "The licensed driver took\nthe bus to the airport", WRAPPED["bsd"].replace("\n", "\n\n")]
+    want += [[(0, "mit"), (1, "gpl")], [], []]
+    got = {r.doc_id: [(f.line, f.family) for f in r.findings] for r in licenses.scan(clash(docs_of(spark, texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # --- 8 byte-level BPE
 
 def test_bpe(spark, sf):

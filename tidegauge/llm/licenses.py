@@ -1,16 +1,22 @@
 """Licence scan by a trained paragraph classifier, with DataFrame functions only (operator 7).
 
-A paragraph is a line of a text. A multinomial logistic regression over word n-grams (one to three words) tells licence families and
+A paragraph is a run of lines that have words, reported by the line on which the notice starts. Every line is scored alone; lines that hold
+no whole notice are scored together with the lines after them, for notices that are wrapped. A multinomial logistic regression over word n-grams (one to three words) tells licence families and
 "unknown" apart. It is fitted on the driver from the notices below, cut and varied by rule, against sentences that share words
 with licences without being one; it keeps few n-grams, and these, with their weights, are a literal of the plan. Probabilities are
 calibrated by a temperature fitted on variants held out from the training. A paragraph is predicted to be of the most
 likely family if that is likelier than unknown and reaches ``least``; a template comparison confirms it: some notice of the family must
 have at least ``overlap`` of its words in the paragraph, in whatever order.
 
-A line without any of the anchor words below, of which every notice has one, is unknown; such lines are not scored.
+What is without any of the anchor words below, of which every notice has one, is unknown and not scored.
 
-Defined results: null and empty texts have no findings; a line with two notices counts for the likelier family; repeated rows are
-scanned each; letters' case and punctuation do not matter.
+*Windows.* A notice that starts in a line and goes on in the next has at most REACH words there and thereafter (a half more than the longest
+notice has). So a window is the last REACH words of a line and the REACH words after it, up to the paragraph's end or a line that
+holds a notice itself. Of windows of one family that meet, the one with the largest overlap counts, and of equal ones the last: it starts
+where the notice does. A family that a line next to the windows names already is not counted again.
+
+Defined results: null and empty texts have no findings; a line, or a window, with two notices counts for the likelier family; repeated rows
+are scanned each; letters' case and punctuation do not matter, so lines of comment signs alone end a paragraph.
 """
 
 from __future__ import annotations
@@ -43,7 +49,7 @@ NOTICES = {
 }
 # Sentences near licences that are none.
 OTHERS = ["The licensed driver took the bus to the airport", "She studied physics at MIT and moved west", "He renewed his fishing license in version two of the form", "The general public was not admitted", "The common attribution of the painting is wrong", "An Apache helicopter landed near the town", "Permission to land was granted by the tower", "The pub lost its license to sell drinks", "All seats reserved for guests", "Free software updates arrive every month", "Please read the terms of service before use", "Copyright law is taught in the second year", "He works under license from a German maker", "The license plate was stolen", "A warranty covers parts and labour", "The source of the river is in the north", "Their work was released in the spring", "Public domain knowledge is not a secret here", "The hunting licence costs ten pounds", "Version 2.0 of the game is out now"]
-ANCHOR = r"(?i)licen[cs]|spdx|permission|public domain|creative commons|redistribut|propriet|gnu |mozilla|eclipse|reproduced|rights reserved|confidential|unencumbered|\b[al]?gpl"
+ANCHOR = r"(?i)licen[cs]|spdx|permission|public[^a-z0-9]+domain|creative[^a-z0-9]+commons|redistribut|propriet|gnu[^a-z0-9]|mozilla|eclipse|reproduced|rights[^a-z0-9]+reserved|confidential|unencumbered|\b[al]?gpl"
 FAMILIES = [*NOTICES]
 UNKNOWN = len(FAMILIES)
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -55,6 +61,9 @@ def words_of(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
+REACH = max(len(words_of(n)) for some in NOTICES.values() for n in some) * 3 // 2
+
+
 def ngrams_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
@@ -152,24 +161,69 @@ def findings(docs: DataFrame, least: float = 0.6, overlap: float = 0.8) -> Colum
         found = F.filter(F.transform(grams, lambda g: F.try_element_at(F.get(table, _bucket(g, size)), g)), lambda v: v.isNotNull())
         return F.aggregate(found, F.lit(bias), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
 
-    def one(line: Column, number: Column) -> Column:
-        def of_words(words: Column) -> Column:
-            def of_scores(z: Column) -> Column:
-                top = F.array_max(z)
-                best = F.array_position(z, top).cast("int") - 1
-                p = F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-                share = F.array_max(F.transform(F.get(notices, best), lambda n: F.size(F.array_intersect(n, words)) / F.size(n)))
-                hit = F.struct(number.alias("line"), F.get(names, best).alias("family"), p.alias("probability"), share.alias("overlap"))
-                return F.when((best < UNKNOWN) & (p >= least) & (share >= overlap), hit)
+    def judged(words: Column, line: Column, last: Column) -> Column:
+        def of_scores(z: Column) -> Column:
+            top = F.array_max(z)
+            best = F.array_position(z, top).cast("int") - 1
+            p = F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
+            share = F.array_max(F.transform(F.get(notices, best), lambda n: F.size(F.array_intersect(n, words)) / F.size(n)))
+            hit = F.struct(line.alias("line"), F.get(names, best).alias("family"), p.alias("probability"), share.alias("overlap"), last.alias("last"))
+            return F.when((best < UNKNOWN) & (p >= least) & (share >= overlap), hit)
+
+        return let(scored(words), of_scores)
+
+    in_words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0))
+    there = lambda hits: F.filter(hits, lambda h: h.isNotNull())
+    empty_type = "array<struct<line:int,family:string,probability:double,overlap:double,last:int>>"
+    empty = F.array().cast(empty_type)
+
+    def window(words: Column, i: Column) -> Column:
+        """The last words of line i and the words after it, if they hold a notice."""
+
+        def step(acc: Column, x: Column) -> Column:
+            goes_on = acc["open"] & (F.size(x) > 0) & (F.size(acc["w"]) < REACH)
+            return F.struct(F.when(goes_on, F.concat(acc["w"], x)).otherwise(acc["w"]).alias("w"), (acc["last"] + goes_on.cast("int")).alias("last"), goes_on.alias("open"))
+
+        def of_rest(rest: Column) -> Column:
+            def of_both(both: Column) -> Column:
+                return F.when(F.concat(F.array_join(both, " "), F.lit(" ")).rlike(ANCHOR), judged(both, i, rest["last"]))
+
+            own = F.get(words, i)
+            both = F.concat(F.slice(own, F.greatest(F.size(own) - (REACH - 1), F.lit(1)), F.lit(REACH)), F.slice(rest["w"], 1, REACH))
+            return F.when((F.size(own) > 0) & (rest["last"] > i), let(both, of_both))
+
+        start = F.struct(F.array().cast("array<string>").alias("w"), i.alias("last"), F.lit(True).alias("open"))
+        return let(F.aggregate(F.slice(words, i + 2, F.lit(REACH)), start, step), of_rest)
+
+    def wrapped(bare: Column) -> Column:
+        """Windows with notices, from lines of which those that hold a notice themselves are blank."""
+        near = lambda i: F.concat(F.get(bare, i), F.lit("\n"), F.coalesce(F.get(bare, i + 1), F.lit(""))).rlike(ANCHOR)
+        seen = F.filter(F.sequence(F.lit(0), F.size(bare) - 1), near)
+        starts = lambda seen: F.array_distinct(F.flatten(F.transform(seen, lambda a: F.sequence(F.greatest(a - REACH, F.lit(0)), a))))
+        of_words = lambda words, seen: there(F.transform(starts(seen), lambda i: window(words, i)))
+        return let(seen, lambda seen: F.when(F.size(seen) > 0, let(F.transform(bare, in_words), lambda words: of_words(words, seen))).otherwise(empty))
+
+    def added(hits: Column, windows: Column) -> Column:
+        """The hits, and of windows that meet a hit or a better window of their family none."""
+        best_first = F.array_sort(F.transform(windows, lambda w: F.struct((-w["overlap"]).alias("o"), (-w["line"]).alias("l"), w.alias("w"))))
+
+        def step(acc: Column, x: Column) -> Column:
+            w = x["w"]
+            meets = F.exists(acc, lambda k: (k["family"] == w["family"]) & (k["last"] >= w["line"] - 1) & (k["line"] <= w["last"] + 1))
+            return F.when(meets, acc).otherwise(F.concat(acc, F.array(w)))
+
+        return F.aggregate(best_first, there(hits).cast(empty_type), step)
 
-            return let(scored(words), of_scores)
+    def of_lines(lines: Column) -> Column:
+        def of_hits(hits: Column) -> Column:
+            bare = F.transform(lines, lambda x, i: F.when(F.get(hits, i).isNull(), x).otherwise(F.lit("")))
+            return let(let(bare, wrapped), lambda windows: added(hits, windows))
 
-        return F.when(line.rlike(ANCHOR), let(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0)), of_words))
+        return let(F.transform(lines, lambda x, i: F.when(x.rlike(ANCHOR), let(in_words(x), lambda words: judged(words, i, i)))), of_hits)
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = F.split(text, "\n")
-    none = F.array().cast("array<struct<line:int,family:string,probability:double,overlap:double>>")
-    return F.when(text.rlike(ANCHOR), F.filter(F.transform(lines, one), lambda h: h.isNotNull())).otherwise(none)
+    every = F.when(text.rlike(ANCHOR), let(F.split(text, "\n"), of_lines)).otherwise(empty)
+    return F.transform(F.array_sort(every), lambda h: F.struct(*[h[c].alias(c) for c in ("line", "family", "probability", "overlap")]))
 
 
 def _joined(words: Column, n: int) -> Column:

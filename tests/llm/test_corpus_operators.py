@@ -278,6 +278,20 @@ def test_html_pages(spark, sf):
     assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == truth
 
 
+def test_html_dropped_elements_end_with_their_parents():
+    texts = lambda page: [x.text for x in html_extract.order(html_extract.parse(page)) if x.text is not None]
+    article = "<article><p>Main text.</p></article>"
+    for tag in ("svg class='i'", "math"):
+        assert texts(f"<body><{tag}/>{article}<{tag.split()[0]}><title>t</title>x</{tag.split()[0]}><p>End.</p>") == ["Main text.", "End."]
+    for tag in sorted(html_extract.DROPPED):
+        assert texts(f"<body><div>a<{tag} id='x'>fallback</div>{article}<p>End.</p></body>") == ["a", "Main text.", "End."]
+        assert texts(f"<body><{tag}>fallback{article}<{tag}>other<p>gone</p></{tag}><p>End.</p></body>") == ["Main text.", "End."]
+        assert texts(f"<body><{tag}>f<{tag}>g</{tag}>h<p>gone</p></{tag}>{article}") == ["Main text."]
+        assert texts(f"<div>a <{tag}>b</{tag}>c</div>") == ["a c"]
+    assert texts(f"<body><select><option>1<option>2<div>{article}</div>") == ["Main text."]
+    assert texts(f"<p>a</p><script>var s = '<p>no</p>'; {article}") == ["a"]
+
+
 # --- 4 vectors
 
 def test_vectors(spark):

@@ -11,7 +11,8 @@ Both kinds of potentials are trained on labelled pages: ``labelled_pages`` (made
 list of pages in which attributes ``data-main="1"`` mark what is main text and ``data-main="0"`` what, inside it, is not.
 
 Defined results: null and empty pages, and pages without main text, give an empty text; unclosed and misnested tags are
-closed where their parents end; text outside any element counts as a child of the page; repeated rows are extracted each.
+closed where their parents end; what lies in elements of DROPPED is not text, and one of these without an end tag of its own ends where
+the next block begins or its parent ends, so that it never takes the page with it; text outside any element counts as a child of the page; repeated rows are extracted each.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 # Elements by how they are parsed.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes object select canvas".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())  # to the end tag or the page's end, whatever stands there
+DROPPED = frozenset("noscript template svg math object select canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section table tbody td tfoot th thead tr ul".split())
 ENDS_WITH = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,10 +64,45 @@ def _attributes(source: str) -> tuple[tuple[str, ...], str | None, bool]:
     return tuple(dict.fromkeys(words)), mark, hidden or bool(re.search(r"\bhidden\b(?!\s*=)", re.sub(r"\"[^\"]*\"|'[^']*'", "", source), re.I))
 
 
+_SOME_DROPPED = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})\b", re.I)
+
+
+def _after_raw(source: str, tag: str, pos: int) -> int:
+    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, pos)
+    return end.end() if end else len(source)
+
+
+def _dropped(source: str) -> dict[int, int]:
+    """Where the elements of DROPPED end that have an end tag of their own before their parent's: by place of the start tag."""
+    ends: dict[int, int] = {}
+    if not _SOME_DROPPED.search(source):
+        return ends
+    stack, count, pos = [], {}, 0
+    while m := _TAG.search(source, pos):
+        pos, tag = m.end(), m[2].lower() if m[2] else None
+        if tag is None or tag in INLINE or tag in VOID:
+            continue
+        if m[1]:
+            while count.get(tag):
+                top, start = stack.pop()
+                count[top] -= 1
+                if top == tag:
+                    if tag in DROPPED:
+                        ends[start] = pos
+                    break
+        elif tag in RAW:
+            pos = _after_raw(source, tag, pos)
+        elif not (tag in ("svg", "math") and m[3].endswith("/")):
+            stack.append((tag, m.start()))
+            count[tag] = count.get(tag, 0) + 1
+    return ends
+
+
 def parse(source: str) -> Node:
     """The tree of blocks and runs of text."""
     root = Node("#page", (), None)
     at, run, links, depth_a, pos = root, [], 0, 0, 0
+    ends, mute = _dropped(source), False
 
     def close_run() -> None:
         nonlocal run, links
@@ -78,7 +115,7 @@ def parse(source: str) -> Node:
 
     def said(text: str) -> None:
         nonlocal links
-        if text:
+        if text and not mute:
             run.append(text)
             links += len(text) if depth_a else 0
 
@@ -106,11 +143,15 @@ def parse(source: str) -> Node:
                 up = up.parent
             if up is not root:
                 close_run()
-                at = up.parent
+                at, mute = up.parent, False
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, pos)
-            pos = end.end() if end else len(source)
+            pos = _after_raw(source, tag, pos)
+            continue
+        if tag in DROPPED:
+            if not (tag in ("svg", "math") and m[3].endswith("/")):
+                pos = ends.get(m.start(), pos)
+                mute = mute or m.start() not in ends
             continue
         if tag in INLINE:
             depth_a += tag == "a"
@@ -120,6 +161,7 @@ def parse(source: str) -> Node:
             continue
         up = at
         if tag in CLOSES_P:
+            mute = False
             while up is not root and up.tag != "p" and up.tag in CLOSES_P and up.tag not in ("td", "th", "li", "div", "article", "section"):
                 up = up.parent
             if up is not root and up.tag == "p":

@@ -556,6 +556,14 @@ def test_quality_on_labels(spark):
     assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.1
 
 
+def test_variety_looks_at_every_part_of_a_text():
+    good = [f"word{i}" for i in range(2000)]
+    vote = lambda words: quality.votes(" ".join(words), words)[quality.LABELLERS.index("variety")]
+    assert vote(good) == vote(good * 3) == vote(good + good[:300]) == 1
+    assert vote(good + ["again"] * 4000) == vote(good + ["again"] * 2000) == vote(good + ["again"] * 3000 + good) == vote(["again"] * 2000 + good) == 2
+    assert vote(good[:100]) == 1 and vote(["again"] * 100) == 2 and vote(good[:10]) == vote([]) == 0
+
+
 def test_quality_awkward(spark):
     docs = clash(docs_of(spark, ODD))
     rows = {r.doc_id: r for r in quality.classify(docs).collect()}

@@ -60,7 +60,8 @@ def votes(text: str, words: list[str]) -> list[int]:
     out.append(two(ends, n >= 5 and 0.03 <= ends <= 0.35, n >= 30 and not 0.005 <= ends <= 0.6))
     mean = len(text) / max(1, n) - 1
     out.append(two(mean, 3 <= mean <= 9, mean > 14 or mean < 2))
-    variety = len(set(words[:2000])) / max(1, min(n, 2000))
+    starts = [*range(0, n - 2000, 2000), max(0, n - 2000)]  # the part of a long text that repeats itself most counts
+    variety = min(len(set(words[i : i + 2000])) / max(1, min(n, 2000)) for i in starts)
     return [*out, two(variety, n >= 20 and variety > 0.3, n >= 20 and variety < 0.1)]
 
 

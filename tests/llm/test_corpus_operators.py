@@ -379,6 +379,13 @@ def test_redaction(spark):
     assert secrets.redact(one).first().text == "[SECRET]"
 
 
+def test_redaction_of_linked_parts(spark):
+    texts = ["user=alice at postgres://admin:p%40w@db.example.com/x?a=b@c and password=hunter22", "login: 'bob' token=abcdefg https://docs.example.com/x@y", "postgres://admin:pw@db.example.com/x", "🙂 user=carol ftp://u@h/ token=abcdefg"]
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(docs_of(spark, texts)).collect()}
+    want = ["user=[SECRET] at postgres://[SECRET]@db.example.com/x?a=b@c and [SECRET]", "login: '[SECRET]' [SECRET] https://docs.example.com/x@y", texts[2], "🙂 user=[SECRET] ftp://[SECRET]@h/ [SECRET]"]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
 # --- 6 and 10 ids
 
 def test_chunks_are_exact(sf):

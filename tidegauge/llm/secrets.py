@@ -26,6 +26,8 @@ WEAK = {
     "weak_id": r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
     "endpoint": r"(?i:\b(?:https?|ftp|ssh|s3|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp))://[^\s\"'<>]+",
 }
+USER_INFO = r"^([^:]+://)([^/?#]*)@"
+NAMED = r"""^([A-Za-z_]+["']?\x20*[:=]\x20*["']?)(.*)$"""
 KINDS = [*BASE, *WEAK]
 ROLE = {"assign": "secret", "hex": "secret", "weak_key": "secret", "access": "id", "weak_id": "id", "endpoint": "endpoint"}
 SPAN = "array<struct<start:bigint,ord:int,end:bigint>>"
@@ -93,20 +95,30 @@ def as_string(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = 300) -> DataFrame:
-    """The documents with every secret, base or linked, replaced by ``mask``; n_chars follows. Addresses stay.
+    """The documents with every secret, base or linked, replaced by ``mask``; n_chars follows.
 
-    All columns stay as they are otherwise. Overlapping spans become one mask.
+    Of a linked endpoint what stands before the @ of its host is masked and the address stays; of a linked account its value. All columns stay as they are otherwise. Overlapping spans become one mask.
     """
-    found = scan(docs, scope).select(F.col("doc_id").alias("__llm_d"), F.col("text_hash").alias("__llm_t"), F.concat("base", F.filter("linked", lambda s: s["ord"] == KINDS.index("weak_key"))).alias("__llm_s"))
+    found = scan(docs, scope).select(F.col("doc_id").alias("__llm_d"), F.col("text_hash").alias("__llm_t"), F.concat("base", "linked").alias("__llm_s"))
     hit = found.where(F.size("__llm_s") > 0).dropDuplicates(["__llm_d", "__llm_t"])
     joined = docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__llm_d")) & (F.xxhash64(F.col("text")) == F.col("__llm_t")), "left")
 
+    def masked(s: Column) -> Column:
+        """The part of a span that is secret."""
+
+        def part(pattern: str) -> Column:
+            whole = F.substring(F.col("text"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+            start = s["start"] + F.length(F.regexp_extract(whole, pattern, 1))
+            return F.struct(start.alias("start"), s["ord"].alias("ord"), (start + F.length(F.regexp_extract(whole, pattern, 2))).alias("end"))
+
+        return F.when(s["ord"] == KINDS.index("endpoint"), part(USER_INFO)).when(s["ord"] == KINDS.index("weak_id"), part(NAMED)).otherwise(s)
+
     def step(acc: Column, s: Column) -> Column:
         added = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], added).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(F.sort_array("__llm_s"), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    whole = F.aggregate(F.sort_array(F.filter(F.transform("__llm_s", masked), lambda s: s["start"] < s["end"])), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
     text = F.when(F.col("__llm_s").isNull(), F.col("text")).otherwise(whole)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:

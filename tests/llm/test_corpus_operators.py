@@ -278,6 +278,12 @@ def test_html_pages(spark, sf):
     assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == truth
 
 
+def test_html_all_words_of_a_block_are_features():
+    many = " ".join(f"u{c}x" for c in "abcdefghijklmnop")
+    block = html_extract.order(html_extract.parse(f"<div class='{many} sidebar' hidden>x</div>"))[1]
+    assert {"word:uax", "word:upx", "word:sidebar", "word:hidden"} <= set(html_extract.signs(block))
+
+
 def test_html_dropped_elements_end_with_their_parents():
     texts = lambda page: [x.text for x in html_extract.order(html_extract.parse(page)) if x.text is not None]
     article = "<article><p>Main text.</p></article>"

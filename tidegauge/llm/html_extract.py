@@ -195,7 +195,7 @@ def order(root: Node) -> list[Node]:
 def signs(node: Node) -> list[str]:
     """Features of a node by name."""
     if node.text is None:
-        return ["bias:block", f"tag:{node.tag}", *[f"word:{w}" for w in node.words[:12]]]
+        return ["bias:block", f"tag:{node.tag}", *[f"word:{w}" for w in node.words]]
     t, n = node.text, len(node.text)
     return ["bias:text", f"long:{min(9, n.bit_length())}", f"link:{int(node.link * 4)}", f"ends:{t[-1] in '.!?…:;,' }", f"in:{node.parent.tag}", f"copyright:{t[:2].lower().startswith('©') or '©' in t[:40]}"]
 

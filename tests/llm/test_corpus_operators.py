@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -116,11 +117,13 @@ def test_next_without_rows_and_alone(spark):
 
 # --- 2 n-gram join
 
+def brute_set(text, n):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+
+
 def brute_components(texts, n, num, den):
-    sets = []
-    for t in texts:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    sets = [brute_set(t, n) for t in texts]
     u = Union()
     for i in range(len(sets)):
         u.find(i)
@@ -139,12 +142,54 @@ def test_ngram_components(spark, n, num, den, edits):
 
 
 def test_ngram_bands_hold_every_link():
-    b = ngrams.Bands(90, 100)
-    for size in range(1, 3000):
-        most = size * 100 // 90
-        assert b.band(most) <= b.band(size) + 1
-        for band in {b.band(size), b.band(most)}:
-            assert b.parts(band) > size // 9
+    for num, den in ((90, 100), (80, 100)):
+        tops = ngrams.bands_upto(4000, num, den)
+        band = lambda size: sum(t < size for t in tops)
+        assert all(band(size * den // num) <= band(size) + 1 for size in range(1, 3000))
+
+
+def test_ngram_sets_that_link_share_a_key_under_any_order():
+    r = np.random.default_rng(8)
+    for num, den in ((90, 100), (80, 100)):
+        for _ in range(300):
+            a = np.unique(r.integers(0, 2**63, int(r.integers(1, 200))).astype(np.uint64))
+            left, added = r.permutation(a)[int(r.integers(0, len(a) // 8 + 1)) :], r.integers(0, 2**63, int(r.integers(0, len(a) // 8 + 1))).astype(np.uint64)
+            b = np.unique(np.concatenate([left, added]))
+            often = r.choice(a, min(len(a), 60), replace=False)
+            order = ngrams.Order(often.view(np.int64).tolist(), r.integers(3, 9, len(often)).tolist())
+            keys = [set(order.first(x, ngrams.keys_in(len(x), num, den)).tolist()) for x in (a, b)]
+            assert [len(k) for k in keys] == [ngrams.keys_in(len(x), num, den) for x in (a, b)]
+            assert keys[0] & keys[1] or not ngrams.reaches(a, b, num, den)
+
+
+@pytest.mark.parametrize("piece", [16, 1 << 20])
+def test_ngram_sets_follow_the_words(monkeypatch, piece):
+    """Sets of a batch are equal exactly where the tuples of lower-cased words are, wherever pieces are cut."""
+    monkeypatch.setattr(ngrams, "PIECE", piece)
+    texts = ["A b\tC d", "a B c\nD", "a b c d e", "ab cd", "a bcd", "", None, "  ", "one", "ONE", "\u00c9 x y", "\u00e9 x y", "x" * 100 + " tail end", "end " + "x" * 100, "tail", "la la la la la la", "la la la", "a\x0bb\x0cc\x1cd"]
+    for part in (texts, texts[3:], texts[::-1]):
+        sets = ngrams.sets_of(pa.array(part), 3)
+        plain = [brute_set(t, 3) for t in part]
+        assert [len(x) for x in sets] == [len(x) for x in plain]
+        for i in range(len(part)):
+            for j in range(i):
+                assert (sets[i].tolist() == sets[j].tolist()) == (plain[i] == plain[j])
+    assert [x.tolist() for x in ngrams.sets_of(pa.array(texts).slice(4, 9), 3)] == [ngrams.shingles(t, 3).tolist() for t in texts[4:13]]
+
+
+@pytest.mark.parametrize("num, den", [(80, 100), (95, 100)])
+def test_ngram_large_family(spark, num, den):
+    """Thousands of near copies of one text, which link (all of them, or chains of them) or nearly so, beside exact copies."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    texts = [" ".join(base)] * 100
+    for _ in range(700):
+        words = list(base)
+        for at in r.sample(range(120), r.randint(1, 4)):
+            words[at] = f"v{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    got = ngrams.jaccard_components(docs_of(spark, texts), 3, num, den, block=100)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute_components(texts, 3, num, den)
 
 
 def test_ngram_bound_is_never_below_the_overlap():

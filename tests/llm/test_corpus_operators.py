@@ -419,6 +419,36 @@ def test_secret_linking(spark):
     assert kinds == {0: ["weak_key"], 1: [], 2: ["endpoint", "weak_id"], 3: [], 4: [], 5: []}
 
 
+def brute_links(text, scope=300):
+    """The definition, over all pairs of spans."""
+    spans = [(a, o, b) for a, o, b in base_spans(text)]
+    for o, (kind, pattern) in enumerate(secrets.WEAK.items(), len(secrets.BASE)):
+        spans += [(m.start(), o, m.end()) for m in re.finditer(pattern, text)]
+    role = lambda s: secrets.ROLE[secrets.KINDS[s[1]]]
+
+    def near(s, want):
+        return any(role(t) == want and t != s and ((t[0], t[1], t[2]) < s and s[0] - t[2] <= scope or (t[0], t[1], t[2]) > s and t[0] - s[2] <= scope) for t in spans)
+
+    need = {"weak_key": ["id"], "weak_id": ["secret"], "endpoint": ["id", "secret"]}
+    return sorted(s for s in spans if s[1] >= len(secrets.BASE) and all(near(s, r) for r in need[secrets.KINDS[s[1]]]))
+
+
+def test_secret_linking_against_all_pairs(spark):
+    r = random.Random(7)
+    key = lambda: "".join(r.choice("abcXYZ789") for _ in range(37)) + "aZ9"
+    parts = [lambda: "AKIA" + "".join(r.choice("ABC123") for _ in range(16)), key, lambda: "user=alice7", lambda: "https://db.example.com/x", lambda: "password=hunter22", lambda: "0f" * 14]
+    texts = [" ".join(x for _ in range(r.randint(1, 9)) for x in (r.choice(parts)(), "filler " * r.randint(0, 60))) for _ in range(120)]
+    got = {x.doc_id: [tuple(s) for s in x.linked] for x in secrets.scan(docs_of(spark, texts)).collect()}
+    want = {i: brute_links(t) for i, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 100 and any(not v for v in want.values())
+
+
+def test_secret_many_spans(spark):
+    text = ("deadbeef" * 3 + " ") * 5000
+    got = secrets.scan(docs_of(spark, [text])).first()
+    assert [tuple(s) for s in got.base] == base_spans(text)
+
+
 def test_redaction(spark):
     docs = clash(docs_of(spark, SECRET_TEXTS))
     out = secrets.redact(docs)
@@ -459,16 +489,20 @@ def test_chunks_are_exact(sf):
         assert np.frombuffer(raw, enc.dtype).tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
-def test_store(spark, tmp_path):
+@pytest.mark.parametrize("shard_bytes", [16 << 20, 4])
+def test_store(spark, tmp_path, shard_bytes):
     path = queries.JSON_TOKENIZER
     library = Tokenizer.from_file(path)
-    ids = [5, 3, 3, -9, 2**40, 0, 77, 78, 79, 80, 81, 82]
+    ids = [5, 3, 3, -9, 2**40, 0, 77, 78, 79, 80, 81, 81]
     texts = ODD
-    manifest = token_index.write_store(clash(docs_of(spark, texts, ids)), path, root=str(tmp_path / "store"))
+    docs = clash(docs_of(spark, texts, ids))
+    manifest = token_index.write_store(docs, path, root=str(tmp_path / "store"), shard_bytes=shard_bytes)
+    assert manifest.where("first_key <= 81 and last_key >= 81").count() == (1 if shard_bytes > 100 else 2)  # records of one key may lie in several shards
+    keys = docs.select("doc_id").union(spark.createDataFrame([(4,), (10**15,)], "doc_id bigint"))
     encoded = {}
     for k, t in sorted(zip(ids, texts), key=lambda x: x[0]):
         encoded.setdefault(k, []).append(library.encode(t or "", add_special_tokens=False).ids + [0])
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_index.read_store(manifest).collect())
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_index.read_store(manifest, keys).collect())
     start = 0
     for (s, k, n, crc) in got:
         assert s == start and (n, crc) in {(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in encoded[k]}
@@ -477,7 +511,16 @@ def test_store(spark, tmp_path):
     for k in ids:
         assert sorted(token_index.lookup(spark, manifest, k)) == sorted(encoded[k])
     assert token_index.lookup(spark, manifest, 4) == []
-    assert token_index.read_store(token_index.write_store(docs_of(spark, []), path, root=str(tmp_path / "none"))).count() == 0
+    assert token_index.read_store(token_index.write_store(docs_of(spark, []), path, root=str(tmp_path / "none")), keys).count() == 0
+
+
+def test_store_reads_little_for_one_key(spark, tmp_path, monkeypatch):
+    """A lookup takes places from the index, not the index."""
+    docs = docs_of(spark, [f"text number {i}" for i in range(3000)])
+    manifest = token_index.write_store(docs, queries.JSON_TOKENIZER, root=str(tmp_path / "store"))
+    monkeypatch.setattr(token_index._Held, "load", None)
+    library = Tokenizer.from_file(queries.JSON_TOKENIZER)
+    assert token_index.lookup(spark, manifest, 1234) == [library.encode("text number 1234", add_special_tokens=False).ids + [0]]
 
 
 def test_perfect_hash():
@@ -632,6 +675,20 @@ def test_variety_looks_at_every_part_of_a_text():
     assert vote(good[:100]) == 1 and vote(["again"] * 100) == 2 and vote(good[:10]) == vote([]) == 0
 
 
+def test_quality_sample_of_any_number(spark):
+    """About the asked number of rows is sampled, however many there are; an empty sample is an error and no silent keeping."""
+    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    assert 5500 < rows.where(quality.sampled(200_000, 6000)).count() < 6500
+    assert rows.where(quality.sampled(5, 6000)).count() == 200_000
+    bound = [quality.sampled(n, 6000)._jc.toString() for n in (1e10, 1e11, 1e13)]
+    assert len(set(bound)) == 3 and not any(b.rstrip(")").endswith("<= 0") for b in bound)
+
+
+def test_quality_looks_at_whole_words():
+    long = "a1" * 40
+    assert quality._SHAPES[long + "##"] != quality._SHAPES[long + "--"] and long + "##" not in dict.keys(quality._SHAPES)
+
+
 def test_quality_awkward(spark):
     docs = clash(docs_of(spark, ODD))
     rows = {r.doc_id: r for r in quality.classify(docs).collect()}

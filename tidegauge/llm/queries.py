@@ -47,7 +47,8 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_store(write_store(table(spark, sf_dir, "documents"), JSON_TOKENIZER))
+    docs = table(spark, sf_dir, "documents")
+    return read_store(write_store(docs, JSON_TOKENIZER), docs.select("doc_id"))
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,20 @@
 """Token-id shards with a minimal perfect hash index (operator 6).
 
-A store is a shared folder of shards. Shard ``s`` holds the documents whose key lies between two bounds, in ascending
-order of the key, as two files:
+A store is a shared folder of shards. The range of keys is cut into at most ``most_parts`` parts of about equal bytes; a part's documents are
+written in ascending order of the key, and a new shard begins after ``shard_bytes``. A shard is two files:
 
-* ``shard-<s>.ids``: nothing but ids, 16 or 32 bits each, little-endian, one document after another;
-* ``shard-<s>.idx``: a JSON header, then the arrays it lists: ``starts`` (first id of each record, and the end),
+* ``<part>-<n>.ids``: nothing but ids, 16 or 32 bits each, little-endian, one document after another;
+* ``<part>-<n>.idx``: a JSON header, then the arrays it lists: ``starts`` (first id of each record, and the end),
   ``words`` and ``ranks`` of the levels of a minimal perfect hash function, and by slot of that function a 32-bit
-  ``prints`` (fingerprint of the key) and ``first``/``count`` (the records of that key).
+  ``prints`` (fingerprint of the key) and ``first``/``count`` (the records of that key). Keys themselves are not stored.
 
 The hash function is a cascade of bit arrays: at each level a key that shares its bit with no other key settles there;
 the others go on to the next level. The slot is the number of bits set before the key's bit, so that n keys fill the
-slots 0 to n-1. A lookup reads a constant number of words, and a key that was never stored fails its fingerprint.
+slots 0 to n-1. A lookup reads the header and a constant number of words by their places in the file, and a key that was never stored fails its
+fingerprint, but for one in four billion.
 
 Defined results: a null text is empty; a document of no ids still has its end id; documents that share a key are all
-stored, one after another, and a lookup returns them all; a null key is stored under the smallest long.
+stored, one after another (over several shards if they are long), and a lookup returns them all; a null key is stored under the smallest long.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions, stage
+from .order import bucket_of
 from .tokens import encoder
 
 NULL_KEY = -(1 << 63)
@@ -104,7 +106,7 @@ def _put(fs, path: str, data: list[bytes]) -> None:
     fs.move(part, path)
 
 
-def write_shard(root: str, shard: int, keys: list[int], payloads: list[bytes], dtype: np.dtype) -> int:
+def write_shard(root: str, name: str, keys: list[int], payloads: list[bytes], dtype: np.dtype) -> int:
     """Both files of a shard, from records in ascending order of their keys; the number of ids."""
     fs, base = _filesystem(root)
     starts = np.cumsum([0, *[len(p) // dtype.itemsize for p in payloads]]).astype("<i8")
@@ -112,73 +114,99 @@ def write_shard(root: str, shard: int, keys: list[int], payloads: list[bytes], d
     mph = PerfectHash.build(distinct)
     slots = mph.slots(distinct)
     arrays = {"starts": starts, "words": mph.words.astype("<u8"), "ranks": mph.ranks.astype("<i8")}
-    for name, values, kind in (("prints", prints_of(distinct), "<u4"), ("first", first, "<i8"), ("count", count, "<i8"), ("keys", np.array(keys), "<i8")):
-        arrays[name] = np.empty(len(values), kind)
-        arrays[name][slots if name != "keys" else slice(None)] = values
+    for kind, values, dt in (("prints", prints_of(distinct), "<u4"), ("first", first, "<i8"), ("count", count, "<i8")):
+        arrays[kind] = np.empty(len(values), dt)
+        arrays[kind][slots] = values
     head = json.dumps({"ids": dtype.str, "sizes": mph.sizes, "arrays": {k: [v.dtype.str, len(v)] for k, v in arrays.items()}}).encode()
-    _put(fs, f"{base}/shard-{shard:08d}.ids", payloads)
-    _put(fs, f"{base}/shard-{shard:08d}.idx", [len(head).to_bytes(8, "little"), head, *[v.tobytes() for v in arrays.values()]])
+    _put(fs, f"{base}/{name}.ids", payloads)
+    _put(fs, f"{base}/{name}.idx", [len(head).to_bytes(8, "little"), head, *[v.tobytes() for v in arrays.values()]])
     return int(starts[-1])
 
 
+class _Held:
+    """An array in a file, of which entries are read where they stand, or all at once by ``load``."""
+
+    def __init__(self, file, kind: str, length: int, at: int):
+        self.file, self.dtype, self.length, self.at, self.whole = file, np.dtype(kind), length, at, None
+
+    def load(self) -> None:
+        self.whole = np.frombuffer(self.file.read_at(self.length * self.dtype.itemsize, self.at), self.dtype)
+
+    def __getitem__(self, places) -> np.ndarray:
+        if self.whole is not None:
+            return self.whole[places]
+        size = self.dtype.itemsize
+        return np.array([np.frombuffer(self.file.read_at(size, self.at + int(i) * size), self.dtype)[0] for i in np.atleast_1d(places)], self.dtype)
+
+
 class ShardReader:
-    """Keyed and sequential reads of one shard."""
-
-    def __init__(self, root: str, shard: int):
-        self.fs, base = _filesystem(root)
-        self.path = f"{base}/shard-{shard:08d}"
-        with self.fs.open_input_file(f"{self.path}.idx") as f:
-            raw = f.read()
-        n = int.from_bytes(raw[:8], "little")
-        head, at = json.loads(raw[8 : 8 + n]), 8 + n
+    """Keyed reads of one shard: single keys by ranged reads of the index, many (``bulk``) with the index in memory."""
+
+    def __init__(self, root: str, name: str, bulk: bool = False):
+        fs, base = _filesystem(root)
+        self.index, self.payload = fs.open_input_file(f"{base}/{name}.idx"), fs.open_input_file(f"{base}/{name}.ids")
+        n = int.from_bytes(self.index.read_at(8, 0), "little")
+        head, at = json.loads(self.index.read_at(n, 8)), 8 + n
         self.dtype, self.arrays = np.dtype(head["ids"]), {}
-        for name, (kind, length) in head["arrays"].items():
-            self.arrays[name] = np.frombuffer(raw, kind, length, at)
-            at += self.arrays[name].nbytes
+        for kind, (dt, length) in head["arrays"].items():
+            self.arrays[kind] = _Held(self.index, dt, length, at)
+            at += length * np.dtype(dt).itemsize
+            if bulk:
+                self.arrays[kind].load()
         self.mph = PerfectHash(head["sizes"], self.arrays["words"], self.arrays["ranks"])
-        self.starts = self.arrays["starts"]
 
-    def ids(self, record: int) -> np.ndarray:
-        a, b = (int(x) * self.dtype.itemsize for x in self.starts[record : record + 2])
-        with self.fs.open_input_file(f"{self.path}.ids") as f:
-            f.seek(a)
-            return np.frombuffer(f.read(b - a), self.dtype)
+    def __enter__(self) -> ShardReader:
+        return self
 
-    def get(self, key: int) -> list[np.ndarray]:
-        """The ids of every document stored under ``key``, in constant time; none if there is none."""
-        asked = np.array([NULL_KEY if key is None else key], np.int64)
-        slot = int(self.mph.slots(asked)[0])
-        if slot < 0 or self.arrays["prints"][slot] != prints_of(asked)[0]:
-            return []
-        first = int(self.arrays["first"][slot])
-        return [self.ids(r) for r in range(first, first + int(self.arrays["count"][slot]))]
-
-    def scan(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(key, first id, ids) of all records, each found through the index, with one pass over the payload."""
-        keys = self.arrays["keys"]
-        slots = self.mph.slots(keys)
-        if len(keys) and ((slots < 0).any() or (self.arrays["prints"][slots] != prints_of(keys)).any()):
-            raise ValueError(f"index of {self.path} does not match its keys")
-        with self.fs.open_input_file(f"{self.path}.ids") as f:
-            for r, key in enumerate(keys.tolist()):
-                a, b = int(self.starts[r]), int(self.starts[r + 1])
-                yield key, a, np.frombuffer(f.read((b - a) * self.dtype.itemsize), self.dtype)
+    def __exit__(self, *_) -> None:
+        self.index.close()
+        self.payload.close()
 
+    def find(self, keys: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(place among ``keys``, first id, ids) of every document stored under one of the keys."""
+        slots = self.mph.slots(keys)
+        there = np.flatnonzero(slots >= 0)
+        there = there[self.arrays["prints"][slots[there]] == prints_of(keys[there])]
+        out = []
+        for i, first, count in zip(there.tolist(), self.arrays["first"][slots[there]].tolist(), self.arrays["count"][slots[there]].tolist()):
+            cuts = self.arrays["starts"][np.arange(first, first + count + 1)].tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                out.append((i, a, np.frombuffer(self.payload.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)))
+        return out
 
-def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_bytes: int = 16 << 20, root: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode ``docs`` and write a store; one row for each shard: shard, root, n_docs, n_tokens, first_key, last_key.
-
-    Bounds of shards come from quantiles of the keys alone, so texts are encoded and shuffled once. A shard is one
-    task's memory: ``shard_bytes`` of text at the mean length, in at least 64 shards so that small inputs spread too.
+    def get(self, key: int | None) -> list[np.ndarray]:
+        """The ids of every document stored under ``key``, in constant time; none if there is none."""
+        return [ids for _, _, ids in self.find(np.array([NULL_KEY if key is None else key], np.int64))]
+
+
+def _bounds(rows: DataFrame, shard_bytes: int, most_parts: int) -> list[int]:
+    """Ascending bounds of parts of about equal bytes: sums of bytes between quantiles of the keys, which are eight times as many as parts."""
+    held, low, high = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8), F.min("key"), F.max("key")).first()
+    parts = min(most_parts, max(64, -(-(held or 0) // shard_bytes)))
+    if low is None or low == high:
+        return []
+    fine = sorted({int(x) for x in rows.stat.approxQuantile("key", [i / (8 * parts) for i in range(1, 8 * parts)], 0.05 / parts)})
+    sums = rows.groupBy(bucket_of(F.col("key"), fine).alias("at")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("n")).collect()
+    of, out, now = {r["at"]: r["n"] for r in sums}, [], 0
+    for i, bound in enumerate(fine):
+        now += of.get(i, 0)
+        if now >= held / parts:
+            out.append(bound)
+            now = 0
+    return out
+
+
+def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_bytes: int = 16 << 20, most_parts: int = 2048, root: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encode ``docs`` and write a store; one row for each shard: part, shard, root, n_docs, n_tokens, first_key, last_key.
+
+    Bounds of parts come from the keys and lengths alone, so texts are encoded and shuffled once. A task holds one shard's ids at a time.
     """
     spark = docs.sparkSession
     root = root or new_path(spark, "token-store")
     fs, base = _filesystem(root)
     fs.create_dir(base)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key"), F.col(text).cast("string").alias("text"))
-    held, low, high = rows.agg(F.sum(F.octet_length("text")), F.min("key"), F.max("key")).first()
-    n = max(64, -(-(held or 0) // shard_bytes))
-    bounds = np.array(sorted(set(rows.stat.approxQuantile("key", [i / n for i in range(1, n)], 0.1 / n))) if low is not None and low < high else [], np.float64)
+    bounds = np.array(_bounds(rows, shard_bytes, most_parts), np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
@@ -187,50 +215,62 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_byt
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 keys = part.column("key")
-                shards = np.searchsorted(bounds, keys.to_numpy(zero_copy_only=False).astype(np.float64), side="right")
+                parts = np.searchsorted(bounds, keys.to_numpy(zero_copy_only=False), side="right")
                 payload = [x + end for x in enc(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), keys, pa.array(payload, pa.binary())], ["shard", "key", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), keys, pa.array(payload, pa.binary())], ["part", "key", "payload"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder(tokenizer_path).dtype
-        now, keys, payloads = None, [], []
+        now, shard, held, keys, payloads = None, 0, 0, [], []
 
         def close():
-            total = write_shard(root, now, keys, payloads, dtype)
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (now, root, len(keys), total, keys[0], keys[-1])], ["shard", "root", "n_docs", "n_tokens", "first_key", "last_key"])
+            total = write_shard(root, f"{now:06d}-{shard:06d}", keys, payloads, dtype)
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in (now, shard, root, len(keys), total, keys[0], keys[-1])], ["part", "shard", "root", "n_docs", "n_tokens", "first_key", "last_key"])
 
         for batch in batches:
-            for shard, k, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if shard != now:
-                    if keys:
-                        yield close()
-                    now, keys, payloads = shard, [], []
+            for part, k, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if keys and (part != now or held >= shard_bytes):
+                    yield close()
+                    shard, held, keys, payloads = shard + 1, 0, [], []
+                if part != now:
+                    now, shard = part, 0
                 keys.append(k)
                 payloads.append(payload)
+                held += len(payload)
         if keys:
             yield close()
 
-    dealt = rows.mapInArrow(encode, "shard int, key long, payload binary").repartition(max(partitions(spark), n), "shard").sortWithinPartitions("shard", "key", "payload")
-    return stage(dealt.mapInArrow(write, "shard long, root string, n_docs long, n_tokens long, first_key long, last_key long"), "token-manifest")
+    dealt = rows.mapInArrow(encode, "part int, key long, payload binary").repartition(max(partitions(spark), len(bounds) + 1), "part").sortWithinPartitions("part", "key", "payload")
+    return stage(dealt.mapInArrow(write, "part long, shard long, root string, n_docs long, n_tokens long, first_key long, last_key long"), "token-manifest")
 
 
-def read_store(manifest: DataFrame) -> DataFrame:
-    """All documents of a store from its files: doc_id, start (ids before it in the whole store), n_tokens, ids_crc32."""
+def read_store(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The stored documents of some keys, each found through its shard's index: doc_id, start (ids before it in the whole store), n_tokens, ids_crc32.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, root, before in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                out: list[tuple] = []
-                for k, at, ids in ShardReader(root, shard).scan():
-                    out.append((None if k == NULL_KEY else k, before + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    if len(out) == 10_000:
-                        yield _rows(out)
-                        out = []
-                yield _rows(out)
-
-    earlier = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    starts = manifest.select("shard", "root", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("before"))
-    return starts.repartition(max(64, partitions(manifest.sparkSession)), "shard").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    A key is sent to its part, which at most ``most_parts`` bounds tell; there the index of each shard whose keys span it is asked. A key that repeats counts once.
+    """
+    totals = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.min("first_key").alias("low"))
+    before = totals.select("part", "low", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
+    inside = F.sum("n_tokens").over(W.partitionBy("part").orderBy("shard")) - F.col("n_tokens")
+    shards = manifest.withColumn("inside", inside).join(before.select("part", "before"), "part").select("part", "shard", "root", "first_key", "last_key", (F.col("before") + F.col("inside")).alias("before"))
+    lows = sorted((r["low"], r["part"]) for r in before.select("low", "part").collect())
+    asked = keys.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("key")).distinct()
+    place = bucket_of(F.col("key"), [low for low, _ in lows[1:]])
+    part = F.get(F.array(*[F.lit(p) for _, p in lows]), place).cast("long") if lows else F.lit(0).cast("long")
+
+    def read(key: tuple, wanted: pa.Table, held: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        ks = np.sort(wanted.column("key").to_numpy())
+        for row in sorted(held.to_pylist(), key=lambda r: r["shard"]):
+            mine = ks[np.searchsorted(ks, row["first_key"]) : np.searchsorted(ks, row["last_key"], side="right")]
+            with ShardReader(row["root"], f"{row['part']:06d}-{row['shard']:06d}", bulk=True) as reader:
+                for i, at, ids in reader.find(mine):
+                    k = int(mine[i])
+                    out.append((None if k == NULL_KEY else k, row["before"] + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+        return pa.Table.from_batches([_rows(out)])
+
+    dealt = asked.withColumn("part", part)
+    return dealt.groupBy("part").cogroup(shards.groupBy("part")).applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -238,8 +278,11 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def lookup(spark: SparkSession, manifest: DataFrame, key: int) -> list[list[int]]:
-    """Ids of the documents stored under one key: the manifest row by its key range, then the index."""
+def lookup(spark: SparkSession, manifest: DataFrame, key: int | None) -> list[list[int]]:
+    """Ids of the documents stored under one key: the manifest rows by their key range, then the index."""
     k = NULL_KEY if key is None else key
-    rows = manifest.where((F.col("first_key") <= k) & (F.col("last_key") >= k)).select("root", "shard").collect()
-    return [ids.tolist() for r in rows for ids in ShardReader(r["root"], r["shard"]).get(k)]
+    out = []
+    for r in manifest.where((F.col("first_key") <= k) & (F.col("last_key") >= k)).select("root", "part", "shard").orderBy("part", "shard").collect():
+        with ShardReader(r["root"], f"{r['part']:06d}-{r['shard']:06d}") as reader:
+            out += [ids.tolist() for ids in reader.get(k)]
+    return out

@@ -19,7 +19,7 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
@@ -70,16 +70,17 @@ class _Shapes(dict):
 
     def __missing__(self, word: str) -> int:
         shape, last, run = [], "", 0
-        for c in word[:64]:
+        for c in word:
             k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
             run = run + 1 if k == last else 1
             last = k
             if run <= (2 if k in "Aa0" else 3):
                 shape.append(k)
         number = xxhash.xxh32_intdigest("".join(shape))
-        if len(self) >= 100_000:
-            self.clear()
-        self[word] = number
+        if len(word) <= 64:  # longer words are rare: they are told anew each time, so that the table stays small
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = number
         return number
 
 
@@ -152,6 +153,15 @@ def _map(docs: DataFrame, names: list[str], types: list, each) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def sampled(total: float, sample: int) -> Column:
+    """Whether a row is one of about ``sample`` of ``total``: its 63-bit hash against a bound, so that any total can be sampled from.
+
+    The expected number is at least 200 where there are as many rows, since none at all would leave nothing to fit.
+    """
+    bound = min((1 << 63) - 1, int(max(sample, 200) / max(1.0, total) * (1 << 63)))
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) <= F.lit(bound)
+
+
 def train(docs: DataFrame, sample: int = 6000) -> np.ndarray:
     """The scorer's weights. Votes of all documents are counted by pattern; the fit sees ``sample`` documents at most (about)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -164,8 +174,7 @@ def train(docs: DataFrame, sample: int = 6000) -> np.ndarray:
         return np.zeros(BUCKETS + 1)
     table, counts = np.stack([p for p, _ in found]).astype(np.int64), np.array([n for _, n in found], float)
     prior, chances = fit_labellers(table, counts)
-    share = min(1.0, sample / counts.sum())
-    chosen = rows.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1.0)) & F.col("text").rlike(r"\S"))
+    chosen = rows.where(sampled(counts.sum(), sample) & F.col("text").rlike(r"\S"))
 
     def both(texts):
         split = [t.split() for t in texts]
@@ -173,7 +182,7 @@ def train(docs: DataFrame, sample: int = 6000) -> np.ndarray:
 
     got = _map(chosen, ["p", "x"], ["binary", "binary"], both).select("p", "x").toPandas()
     if got.empty:
-        return np.zeros(BUCKETS + 1)
+        raise ValueError(f"no document was sampled of {counts.sum():.0f}: the scorer can't be fitted")
     y = posterior(np.stack([np.frombuffer(p, np.uint8) for p in got["p"]]).astype(np.int64), prior, chances)
     return fit_scorer(np.stack([np.frombuffer(x, np.float16) for x in got["x"]]).astype(np.float32), y)
 

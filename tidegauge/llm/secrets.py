@@ -49,8 +49,14 @@ def _find(text: Column, kind: str, pattern: str) -> Column:
             span = F.array(F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end")))
             return F.struct(end.alias("at"), F.when(valid(x["m"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
+        def chunk(acc: Column, some: Column) -> Column:
+            """Spans of a chunk are put together first: appending one by one to all would cost the square of their number."""
+            return let(F.aggregate(some, state(acc["at"]), step), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))
+
+        state = lambda at: F.struct(at.alias("at"), F.array().cast(SPAN).alias("out"))
         pairs = F.zip_with(p["m"], F.slice(p["g"], F.lit(1), F.size(p["m"])), lambda m, g: F.struct(m.alias("m"), g.cast("long").alias("g")))
-        return F.aggregate(pairs, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+        chunks = let(pairs, lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / 200).cast("int")), lambda i: F.slice(x, i * 200 + 1, F.lit(200))))
+        return F.aggregate(chunks, state(F.lit(0).cast("long")), chunk, lambda acc: acc["out"])
 
     return F.when(text.rlike(pattern), let(parts, walk)).otherwise(F.array().cast(SPAN))
 

@@ -81,6 +81,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, block: int = 2048)
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate("u", F.lit(0.0), lambda a, v: a + v) / (F.col("norm") * F.sqrt(F.size("u"))))))
     units = classes.withColumn("big", biggest).withColumn("u", u).withColumn("norm", norm)
     cells = units.select("class", "copies", "label", F.floor(angle / (step + 1e-9)).alias("cell"), F.size("u").alias("dim"), F.transform("u", lambda v: v / F.col("norm")).alias("u"))
+    cells = stage(cells, "cells")  # angles and norms are computed once
     sizes = cells.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"))
     blocks = sizes.select("label", "dim", "cell", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
     above = blocks.select("label", "dim", (F.col("cell") - 1).alias("cell"), F.col("blocks").alias("above"))

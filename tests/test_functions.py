@@ -83,6 +83,8 @@ NOW = datetime(2024, 1, 10, 15, 30, tzinfo=timezone.utc)  # a Wednesday
     [
         ("now", (10, 15, 30)), ("noon", (10, 12, 0)), ("midnight", (10, 0, 0)), ("teatime", (10, 16, 0)), ("noon yesterday", (9, 12, 0)), ("10:30", (10, 10, 30)), ("10:30pm", (10, 22, 30)),
         ("10am tomorrow", (11, 10, 0)), ("monday", (8, 0, 0)), ("january 5", (5, 0, 0)), ("20240103", (3, 0, 0)), ("01/02/24", (2, 0, 0)), ("-1h", (10, 14, 30)), ("noon +2d", (12, 12, 0)), ("12:15 20240107", (7, 12, 15)), ("now-30min", (10, 15, 0)),
+        ("today", (10, 0, 0)), ("tomorrow", (11, 0, 0)), ("yesterday", (9, 0, 0)), ("Jan 5, 2024", (5, 0, 0)), ("10:5520240105", (5, 10, 55)), ("10:55_2024_01_05", (5, 10, 55)), ("10:00tuesday", (9, 10, 0)), ("noon Fri", (5, 12, 0)),
+        ("midnight Jan 30", (30, 0, 0)), ("15:45 01/30/24", (30, 15, 45)), ("teatime 01/30/2024", (30, 16, 0)), ("2024-01-05", (5, 0, 0)), ("12:30pm", (10, 12, 30)), ("now-10s", (10, 15, 29)),
     ],
 )
 def test_dates(text, want):
@@ -93,6 +95,8 @@ def test_dates(text, want):
 def test_other_dates():
     assert dates.parse("1704067200") == datetime(2024, 1, 1, tzinfo=timezone.utc)
     assert dates.parse("-1mon", NOW).month == 12 and dates.parse("-1y", NOW).year == 2023
+    assert dates.parse("Jul 30, 2013", NOW) == datetime(2013, 7, 30, tzinfo=timezone.utc)
+    assert dates.parse("now", NOW.replace(second=17)) == NOW
     with pytest.raises(ValueError):
         dates.parse("no such day", NOW)
 

@@ -27,9 +27,15 @@ def bucketed(df: DataFrame, g: Granularity, ts: str = "ts_ms") -> DataFrame:
     return df.withColumn("bucket_ms", snap(F.col(ts), g))
 
 
-def _add(state: Column, x: Column) -> Column:
-    n = state["n"] + 1
-    q = x + state["r"] - state["a"]
+def _add(state: Column, x: Column, times: Column | None = None) -> Column:
+    """The mean after x came ``times`` times (once if not given): (count, mean, remainder).
+
+    Steps of one value need no loop. mean * count + remainder is the sum at every step, so after k steps the sum has grown by k * x and what
+    the old mean leaves of it is ``q``. That has the sign of the last step's dividend, whose quotient is truncated; so one truncated division gives the end.
+    """
+    k = F.lit(1).cast("long") if times is None else times
+    n = state["n"] + k
+    q = state["r"] + k * (x - state["a"])
     return F.struct(n.alias("n"), (state["a"] + F.call_function("div", q, n)).alias("a"), (q % n).alias("r"))
 
 
@@ -39,28 +45,35 @@ def _zero() -> Column:
 
 def integer_mean(values: Column) -> Column:
     """Mean of an array of longs in its order: each step adds the truncated quotient and carries the remainder."""
-    return F.aggregate(values, _zero(), _add, lambda s: s["a"])
+    return F.aggregate(values, _zero(), lambda s, x: _add(s, x), lambda s: s["a"])
 
 
 def integer_mean_of_children(children: Column) -> Column:
     """The same over children (n, a): each mean is added as often as it counts."""
-    batch = lambda s, c: F.aggregate(F.sequence(F.lit(1).cast("long"), c["n"]), s, lambda t, _: _add(t, c["a"]))
-    return F.aggregate(F.filter(children, lambda c: c["n"] > 0), _zero(), batch, lambda s: s["a"])
+    return F.aggregate(F.filter(children, lambda c: c["n"] > 0), _zero(), lambda s, c: _add(s, c["a"], c["n"]), lambda s: s["a"])
 
 
-def basic_from_raw(points: DataFrame, g: Granularity = MIN_5) -> DataFrame:
+def _long_only(of: Callable[[Column], Column]) -> Column:
+    """An aggregate of longs as they are, null if the bucket has any double."""
+    return F.when(F.count("v_double") == 0, of(F.col("v_long")))
+
+
+def basic_from_raw(points: DataFrame, g: Granularity = MIN_5, **more: Column) -> DataFrame:
+    """Statistics of each bucket, and any ``more`` aggregates. min_long, max_long and sum_long are exact beyond 2^53 (a sum that overflows is null)."""
     longs = F.array_sort(F.collect_list(F.when(F.col("v_double").isNull(), F.struct("ts_ms", "v_long"))))
     real = F.count("v_double") > 0
+    exact = {"min_long": F.min, "max_long": F.max, "sum_long": F.try_sum}
     out = bucketed(points, g).groupBy(*KEYS).agg(
-        F.count("*").alias("count"), real.alias("is_double"), longs.alias("_longs"), F.avg(num()).alias("_avg"), F.var_pop(num()).alias("variance"), F.min(num()).alias("min"), F.max(num()).alias("max"), F.sum(num()).alias("sum")
+        F.count("*").alias("count"), real.alias("is_double"), longs.alias("_longs"), F.avg(num()).alias("_avg"), F.var_pop(num()).alias("variance"), F.min(num()).alias("min"), F.max(num()).alias("max"), F.sum(num()).alias("sum"),
+        *[_long_only(f).alias(k) for k, f in exact.items()], *[v.alias(k) for k, v in more.items()],
     )
     mean = integer_mean(F.transform("_longs", lambda p: p["v_long"]))
-    return out.select(*KEYS, "count", F.when(~F.col("is_double"), mean).alias("avg_long"), F.when(F.col("is_double"), F.col("_avg")).alias("avg_double"), "variance", "min", "max", "sum")
+    return out.select(*KEYS, "count", F.when(~F.col("is_double"), mean).alias("avg_long"), F.when(F.col("is_double"), F.col("_avg")).alias("avg_double"), "variance", "min", "max", "sum", *exact, *more)
 
 
 def double_basic_from_raw(points: DataFrame, g: Granularity = MIN_5) -> DataFrame:
     """For series known to be double: partial aggregation all the way, nothing is collected."""
-    return bucketed(points, g).groupBy(*KEYS).agg(F.count("*").alias("count"), F.lit(None).cast("long").alias("avg_long"), F.avg("v_double").alias("avg_double"), F.var_pop("v_double").alias("variance"), F.min("v_double").alias("min"), F.max("v_double").alias("max"), F.sum("v_double").alias("sum"))
+    return bucketed(points, g).groupBy(*KEYS).agg(F.count("*").alias("count"), F.lit(None).cast("long").alias("avg_long"), F.avg("v_double").alias("avg_double"), F.var_pop("v_double").alias("variance"), F.min("v_double").alias("min"), F.max("v_double").alias("max"), F.sum("v_double").alias("sum"), *[F.lit(None).cast("long").alias(k) for k in ("min_long", "max_long", "sum_long")])
 
 
 def average() -> Column:
@@ -92,9 +105,10 @@ def _merged(children: Column) -> dict[str, Column]:
 
 def basic_from_basic(children: DataFrame, g: Granularity) -> DataFrame:
     finer = children.withColumnRenamed("bucket_ms", "child_ms")
-    out = bucketed(finer, g, "child_ms").groupBy(*KEYS).agg(F.sum("count").alias("count"), _children().alias("_c"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"))
+    exact = {k: F.when(F.count("avg_double") == 0, f(k)).alias(k) for k, f in (("min_long", F.min), ("max_long", F.max), ("sum_long", F.try_sum)) if k in children.columns}
+    out = bucketed(finer, g, "child_ms").groupBy(*KEYS).agg(F.sum("count").alias("count"), _children().alias("_c"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"), *exact.values())
     merged = _merged(F.col("_c"))
-    return out.select(*KEYS, "count", *[v.alias(k) for k, v in merged.items()], "min", "max", "sum")
+    return out.select(*KEYS, "count", *[v.alias(k) for k, v in merged.items()], "min", "max", "sum", *exact)
 
 
 def counter_from_raw(points: DataFrame, g: Granularity = MIN_5) -> DataFrame:
@@ -110,8 +124,8 @@ def counter_from_counter(children: DataFrame, g: Granularity) -> DataFrame:
 
 
 def gauge_from_raw(points: DataFrame, g: Granularity = MIN_5) -> DataFrame:
-    last = bucketed(points, g).groupBy(*KEYS).agg(F.max_by(F.struct("ts_ms", "v_long", "v_double"), "ts_ms").alias("latest"))
-    return basic_from_raw(points, g).drop("sum").join(last, KEYS)
+    latest = F.max_by(F.struct("ts_ms", "v_long", "v_double"), "ts_ms")
+    return basic_from_raw(points, g, latest=latest).drop("sum", "sum_long")
 
 
 def gauge_from_gauge(children: DataFrame, g: Granularity) -> DataFrame:

@@ -35,16 +35,13 @@ def names_at_level(index: DataFrame, tenant: str, query: str) -> DataFrame:
     """Names one level deep: (name, is_complete). A name with further levels is incomplete; it also occurs as complete if
     more series carry the prefix than its children account for. A query of one token gives incomplete names only."""
     level = query.count(".") + 1
-    mine = index.where(F.col("tenant_id") == tenant)
-    counts = prefixes(mine).where(F.col("level").isin(level, level + 1)).groupBy("prefix", "level").agg(F.count("*").alias("docs"))
-    base = counts.where((F.col("level") == level) & F.col("prefix").rlike(f"^{path_regex(query)}$")).select("prefix", "docs")
-    parent = F.regexp_replace("prefix", r"\.[^.]*$", "")
-    below = counts.where(F.col("level") == level + 1).groupBy(parent.alias("prefix")).agg(F.sum("docs").alias("below"))
-    both = base.join(below, "prefix", "left")
-    partial = both.where("below is not null").select(F.col("prefix").alias("name"), F.lit(False).alias("is_complete"))
-    if level == 1:
-        return partial
-    return partial.union(both.where(F.col("docs") > F.coalesce("below", F.lit(0))).select("prefix", F.lit(True)))
+    parts = F.split("metric", r"\.")
+    deep = index.where(F.col("tenant_id") == tenant).select(F.array_join(F.slice(parts, 1, level), ".").alias("name"), F.size(parts).alias("depth")).where(F.col("depth") >= level)
+    counts = deep.where(F.col("name").rlike(f"^{path_regex(query)}$")).groupBy("name").agg(F.count("*").alias("docs"), F.count_if(F.col("depth") > level).alias("below"))
+    told = [F.when(F.col("below") > 0, F.lit(False))]
+    if level > 1:
+        told.append(F.when(F.col("docs") > F.col("below"), F.lit(True)))
+    return counts.select("name", F.explode(F.filter(F.array(*told), lambda t: t.isNotNull())).alias("is_complete"))
 
 
 def path_tokens(index: DataFrame) -> DataFrame:

@@ -69,10 +69,22 @@ def ev(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EV} SELECT {KEYED}, ts_ms, round(v, 4) AS value FROM ev WHERE tenant_id = 't1' AND ts_ms BETWEEN {T0 + 2 * DAY} AND {T0 + 9 * DAY}")
 def raw_range_scan(spark, d):
-    p = ev(spark, d).where((F.col("tenant_id") == "t1") & F.col("ts_ms").between(T0 + 2 * DAY, T0 + 9 * DAY))
+    p = tables.event_points(spark, d, T0 + 2 * DAY, T0 + 9 * DAY).where("tenant_id = 't1'")
     return p.select("tenant_id", "metric", "ts_ms", r("v_double", "value"))
 
 
+_BIG = "big AS (SELECT 'b' || (o_custkey % 2) AS tenant_id, 'key.' || o_orderstatus AS metric, epoch_us(o_orderdate) // 1000 AS ts_ms, o_orderkey + 1152921504606846976 AS v FROM orders)"
+
+
+@query(f"WITH {_BIG} SELECT {KEYED}, {B(DAY)} AS bucket_ms, count(*) AS count, min(v) AS min_long, max(v) AS max_long FROM big GROUP BY ALL")
+def long_extremes(spark, d):
+    """Longs beyond 2^53 keep their digits, from raw points to the day."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    p = o.select(F.concat(F.lit("b"), F.col("o_custkey") % 2).alias("tenant_id"), F.concat(F.lit("key."), "o_orderstatus").alias("metric"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ts_ms"), (F.col("o_orderkey") + F.lit(1 << 60)).alias("v_long"), F.lit(None).cast("double").alias("v_double"))
+    out = rollups.basic_from_basic(rollups.basic_from_raw(p, G.MIN_240), G.MIN_1440)
+    return out.select(*rollups.KEYS, "count", "min_long", "max_long")
+
+
 @query(f"WITH {LI} SELECT {KEYED}, ts_ms, v AS value FROM li")
 def raw_dedup_lww(spark, d):
     return tables.shipment_points(spark, d).select("tenant_id", "metric", "ts_ms", F.col("v_long").alias("value"))

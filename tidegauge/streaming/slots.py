@@ -111,12 +111,17 @@ def touched_buckets(late: DataFrame, g=MIN_60) -> DataFrame:
     return late.select("tenant_id", "metric", snap(F.col("ts_ms"), g).alias("bucket_ms")).distinct()
 
 
-def reroll_locators(delayed: DataFrame, slots_to_roll: DataFrame) -> DataFrame:
-    """Series to roll up again for slots of up to an hour: those noted as late under any 20-minute slot that the slot holds, or that holds it."""
+def reroll_locators(delayed: DataFrame, slots_to_roll: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Series to roll up again. For slots of up to an hour: those noted as late under any 20-minute slot that the slot holds, or that holds it;
+    for coarser slots: every series (tenant_id, metric, shard) of ``known`` in the slot's shard, none if it is not given."""
     number = {g.short: g.slots for g in ROLLED}
     per = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])[F.col("gran")]
-    some = slots_to_roll.where(F.col("gran").isin("5m", "20m", "60m"))
+    fine = F.col("gran").isin("5m", "20m", "60m")
     first = F.floor(F.col("slot") * MIN_20.slots / per).cast("int")
     last = F.greatest(first, F.floor((F.col("slot") + 1) * MIN_20.slots / per).cast("int") - 1)
-    wide = some.select(F.col("gran").alias("roll_gran"), F.col("slot").alias("roll_slot"), "shard", F.explode(F.sequence(first, last)).alias("slot"))
-    return wide.join(delayed.where(F.col("gran") == MIN_20.short).drop("gran"), ["slot", "shard"]).select(F.col("roll_gran").alias("gran"), F.col("roll_slot").alias("slot"), "shard", "tenant_id", "metric").distinct()
+    wide = slots_to_roll.where(fine).select(F.col("gran").alias("roll_gran"), F.col("slot").alias("roll_slot"), "shard", F.explode(F.sequence(first, last)).alias("slot"))
+    late = wide.join(delayed.where(F.col("gran") == MIN_20.short).drop("gran"), ["slot", "shard"]).select(F.col("roll_gran").alias("gran"), F.col("roll_slot").alias("slot"), "shard", "tenant_id", "metric").distinct()
+    if known is None:
+        return late
+    coarse = slots_to_roll.where(~fine).select("gran", "slot", "shard").distinct()
+    return late.unionByName(coarse.join(known.select("tenant_id", "metric", "shard").distinct(), "shard"))

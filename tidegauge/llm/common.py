@@ -25,11 +25,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a query go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
+    """Write ``df`` once to the shared folder and read it back: lineage ends there and a lost executor costs nothing.
+
+    While it is written its shuffle files are kept; nothing reads them afterwards, so they are deleted when the table is whole.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out
@@ -43,17 +55,6 @@ def unstage(df: DataFrame) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop plans that nothing refers to, so that the shuffle files of staged tables go at once."""
-    import gc
-    import time
-
-    for _ in range(2):  # the first pass frees what holds the plans, the second the plans
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

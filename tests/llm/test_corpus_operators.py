@@ -93,18 +93,38 @@ def test_fingerprint_sees_order_and_repetition(spark):
     assert near_small > 0.8 > near_moved  # the same words in another order are further than a few edits
 
 
-def test_fingerprint_numbers_occurrences_like_plain_python(spark):
-    text = "la la la la di la la da " * 9
-    pieces = re.findall(r"\s*\S{1,6}|\s+", text)
-    seen, want = defaultdict(int), []
+def brute_fingerprint(text, k=3):
+    """The definition in plain Python: numbered k-mers, the two minimal ones of each slot in text order."""
+    import struct
+
+    import xxhash
+
+    def h(*values):
+        seed = 42
+        for v in values:
+            if v is not None:
+                seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.encode(), seed)
+        return seed
+
+    signed = lambda x: struct.pack("<Q", x)
+    pieces = re.findall(r"\s*+\S{1,6}|\s++", text)
+    seen, won = defaultdict(int), defaultdict(list)
     for i in range(len(pieces)):
-        k = tuple(pieces[max(0, i - 2) : i + 1])
-        want.append((k, seen[k]))
-        seen[k] += 1
-    df = spark.createDataFrame([(text,)], "t string")
-    found = F.regexp_extract_all("t", F.lit(fingerprints.PIECE), F.lit(0))
-    assert df.select(found).first()[0] == pieces
-    assert len(set(want)) == len(pieces)
+        gram = h(pieces[i], *[pieces[i - n] if i >= n else None for n in range(1, k)]) >> 24 << 24
+        code = h(signed(gram), struct.pack("<i", seen[gram])) >> 24 << 24
+        seen[gram] += 1
+        won[code >> 58].append((code, i))
+    out = ["...."] * 64
+    for slot, codes in won.items():
+        two = sorted(sorted(codes)[:2], key=lambda c: c[1])
+        out[slot] = f"{h(*[signed(c) for c, _ in two]) & 0xFFFF:04x}"
+    return "".join(out)
+
+
+def test_fingerprint_against_the_definition(spark):
+    texts = ["", " ", "one", "la la la la di la la da " * 9, "x" * 500, "a b\n c\t\td  ", *families(3, [2, 1, 1], 200), *families(4, [1], 2000)]
+    rows = {r.doc_id: r.fingerprint for r in fingerprints.compare_with_edits(docs_of(spark, texts)).collect()}
+    assert rows == {i: brute_fingerprint(t) for i, t in enumerate(texts)}
 
 
 def test_next_without_rows_and_alone(spark):

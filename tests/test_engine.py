@@ -105,9 +105,16 @@ def test_slot_states(spark):
     assert slots.eligible(state, 1_000_000 + 299_000).count() == 0
     ready = slots.eligible(state, 1_000_000 + 400_000)
     assert [r.gran for r in ready.collect()] == ["5m", "20m", "60m", "240m", "1440m"]
-    done = slots.complete(state, ready.where("gran = '5m'"), 2_000_000)
+    fine = ready.where("gran = '5m'")
+    assert [r.gran for r in slots.startable(ready, state).collect()] == ["5m"]
+    running = slots.start(state, fine)
+    assert slots.eligible(running, 1_400_000).count() == 4 and slots.startable(ready.where("gran <> '5m'"), running).count() == 0
+    assert {r.state for r in slots.give_back(running, fine).collect()} == {"A"}
+    done = slots.complete(running, fine, 2_000_000)
     after = {r.gran: (r.state, r.dirty, r.last_rollup_ms) for r in done.collect()}
-    assert after["5m"] == ("X", False, 2_000_000) and after["20m"] == ("A", True, 0)
+    assert after["5m"] == ("X", True, 2_000_000) and after["20m"] == ("A", True, 0)
+    late = slots.complete(slots.merge_state(running, state), fine, 2_000_000)
+    assert {r.gran: r.state for r in late.collect()}["5m"] == "A"  # became active while it ran
     again = slots.merge_state(done, state)
     assert {r.gran: (r.state, r.last_rollup_ms) for r in again.collect()}["5m"] == ("A", 2_000_000)
     row = spark.createDataFrame([("5m,12,X",)], "s string").select(slots.parse_slot_key(F.col("s")).alias("k")).select("k.*").first()
@@ -189,3 +196,53 @@ def test_config_and_modules(spark):
         assert [tuple(r) for r in config.module("names", name)(index, "t", "a.*").collect()] == [("a.b", True)]
     with pytest.raises(ValueError):
         config.register("nosuch", "x", None)
+
+
+def test_state_store(spark, tmp_path):
+    root = str(tmp_path / "state")
+    points = spark.createDataFrame([("t", f"m{i}", 1_000_000, 1, None) for i in range(5)], RAW)
+    state = slots.mark_dirty(points)
+    fine = state.where("gran = '5m'")
+    clean = slots.push(state, root, 10)
+    assert clean.where("dirty").count() == 0
+    slots.push(slots.complete(slots.start(state, fine), fine, 2_000_000).where("gran = '5m'"), root, 10)  # at the same time: the rolled one counts
+    shards = [r.shard for r in state.select("shard").distinct().collect()]
+    got = slots.pull(spark, root, shards)
+    assert got.count() == state.count() and {r.state for r in got.where("gran = '5m'").collect()} == {"X"}
+    assert got.where("gran <> '5m' AND state = 'X'").count() == 0
+    some = slots.pull(spark, root, shards[:1])
+    assert {r.shard for r in some.collect()} == set(shards[:1])
+    assert "shard" in some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
+    assert slots.reconcile(state, got).where("gran = '5m' AND state = 'X'").count() == fine.count()
+
+
+def test_events_by_route(spark, tmp_path):
+    bodies = ['{"when": 5, "what": "a", "tags": "x"}', '{"when": 5, "what": "a"}{"when": 6, "what": "b"}', '[{"when": 5, "what": "a"}]', "", None, "{}", '{"when": 0, "what": "a"}', "no json", '{"when": 5, "what": "a"},{"when": 6, "what": "b"}']
+    lines = spark.createDataFrame([(f"t{i}", b) for i, b in enumerate(bodies)], "tenant_id string, value string")
+    valid, rejected = ingest.split_events(lines)
+    assert [tuple(r) for r in valid.collect()] == [("t0", 5, "a", None, "x")]
+    why = {r.tenant_id: r.message for r in rejected.collect()}
+    assert set(why) == {f"t{i}" for i in range(1, 9)} and why["t5"] == "what may not be empty" and why["t8"].startswith("Only one") and why["t2"] == why["t3"] == why["t4"] == why["t7"] == "Invalid Data"
+    root = str(tmp_path / "events")
+    for i in range(2):
+        maintenance.write_events(valid.withColumn("when", F.lit(i).cast("long")), root)
+    mine = maintenance.read_events(spark, root, "t0")
+    assert sorted(r.when for r in mine.collect()) == [0, 1] and maintenance.read_events(spark, root, "t1").count() == 0
+    assert "route" in mine._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:80]
+
+
+def test_ttl_and_routes(spark):
+    days = {"5m": 7, ("5m", "GAUGE"): 3, ("5m", "COUNTER"): 1}
+    assert [ingest.ttl_of("5m", k, days) for k in ("BF_BASIC", "GAUGE", "COUNTER")] == [7, 3, 7]
+    assert ingest.ttl_of("full", "SET", None, 5) == 5 and ingest.ttl_of("60m") == 155
+    w = spark.createDataFrame([("t", "a", None), ("t", "b", "GAUGE"), ("t", "c", "BF_BASIC")], "tenant_id string, metric string, rollup_type string")
+    basic, pre = ingest.route(w)
+    assert sorted(r.metric for r in basic.collect()) == ["a", "c"] and [r.metric for r in pre.collect()] == ["b"]
+
+
+def test_rollup_json_of_no_points(spark):
+    rows = spark.createDataFrame([("t", "m", 0, 0, None, None, 0.0, 0.0, 0.0, 0.0), ("t", "n", 0, 2, 3, None, 0.0, 3.0, 3.0, 6.0)], "tenant_id string, metric string, bucket_ms bigint, count bigint, avg_long bigint, avg_double double, variance double, min double, max double, sum double")
+    meta = spark.createDataFrame([], META)
+    out = {r.metric: json.loads(r.json)["rollup"] for r in reading.rollup_event_json(rows, G.MIN_5, meta).collect()}
+    assert out["m"] == {"count": 0, "max": None, "min": None, "mean": None, "var": None, "sum": None}
+    assert out["n"]["mean"] == 3 and isinstance(out["n"]["mean"], int) and isinstance(out["n"]["sum"], float)

@@ -63,3 +63,15 @@ def resolve_number(text: Column) -> tuple[Column, Column]:
 
 def tokens(metric: Column) -> Column:
     return F.split(metric, r"\.")
+
+
+def mixed_numbers(whole: str = "v_long", real: str = "v_double") -> dict[str, Column]:
+    """Aggregates over numbers that are longs or doubles: sum, avg, min and max as structs of v_long and v_double, of which one is set.
+
+    A group is long unless it holds a double; the average of longs drops its fraction. A sum of longs that overflows is null.
+    """
+    x = F.coalesce(F.col(real), F.col(whole).cast("double"))
+    doubles = F.count(real) > 0
+    total = F.try_sum(whole)
+    both = lambda a, b: F.struct(F.when(~doubles, a).alias("v_long"), F.when(doubles, b).alias("v_double"))
+    return {"sum": both(total, F.sum(x)), "avg": both(F.call_function("div", total, F.count(whole)), F.avg(x)), "min": both(F.min(whole), F.min(x)), "max": both(F.max(whole), F.max(x))}

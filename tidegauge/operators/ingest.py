@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.granularity import LADDER
+from ..sources.tables import EVENT
 
 DAY = 86_400_000
 # Limits of what is taken in.
@@ -14,6 +16,10 @@ PAST_MS, FUTURE_MS = 3 * DAY, 600_000
 DELAY_MS = 300_000
 MAX_TTL_S = 2**31 - 1
 PER_MINUTE, PER_TENANT_MINUTE = 50_000, 500
+TYPES = ("BF_BASIC", "COUNTER", "GAUGE", "SET", "TIMER")
+
+#: Days by level, or by level and type.
+TtlDays = dict[str | tuple[str, str], int]
 
 
 def problem(now_ms: int) -> Column:
@@ -61,15 +67,32 @@ def is_delayed(now_ms: int, ts: str = "ts_ms") -> Column:
     return F.lit(now_ms) - F.col(ts) > DELAY_MS
 
 
-def ttl_days(gran: Column, days: dict[str, int] | None = None) -> Column:
-    """Days kept by granularity; a configured value goes before the table's."""
-    kept = {g.short: g.ttl_days for g in LADDER} | (days or {})
-    return F.create_map(*[F.lit(x) for pair in kept.items() for x in pair])[gran]
+def split_bundles(bundles: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected): each bundle of a payload is judged by itself. Rejected rows say why."""
+    judged = bundles.withColumn("_p", bundle_problem(now_ms))
+    rejected = judged.where("_p is not null").select(F.col("tenantId").alias("tenant_id"), F.col("timestamp").alias("ts_ms"), F.col("_p").alias("message"))
+    return judged.where("_p is null").drop("_p"), rejected
+
 
+def ttl_of(gran: str, kind: str = "BF_BASIC", days: TtlDays | None = None, forced: int | None = None) -> int:
+    """Days that a level of a type is kept: raw points those forced; else those configured for (level, type), else for the level, else the table's.
 
-def unexpired(df: DataFrame, now_ms: int, gran: str, days: dict[str, int] | None = None, ts: str = "bucket_ms") -> DataFrame:
-    kept = (days or {}).get(gran) or next(g.ttl_days for g in LADDER if g.short == gran)
-    return df.where(F.col(ts) >= now_ms - kept * DAY)
+    Counters have no configured days of their own type.
+    """
+    if gran == "full" and forced is not None:
+        return forced
+    typed = (days or {}).get((gran, kind)) if kind != "COUNTER" else None
+    return typed or (days or {}).get(gran) or next(g.ttl_days for g in LADDER if g.short == gran)
+
+
+def unexpired(df: DataFrame, now_ms: int, gran: str, days: TtlDays | None = None, ts: str = "bucket_ms", kind: str = "BF_BASIC", forced: int | None = None) -> DataFrame:
+    """Rows not older than their days. Where rows have a ``rollup_type`` each goes by its own (null: by ``kind``); a bound that all share reaches the scan."""
+    cut = lambda k: now_ms - ttl_of(gran, k, days, forced) * DAY
+    if "rollup_type" not in df.columns:
+        return df.where(F.col(ts) >= cut(kind))
+    cuts = F.create_map(*[F.lit(x) for k in TYPES for x in (k, cut(k))])
+    mine = F.coalesce(F.try_element_at(cuts, F.coalesce("rollup_type", F.lit(kind))), F.lit(cut(kind)))
+    return df.where((F.col(ts) >= min(cut(k) for k in {*TYPES, kind})) & (F.col(ts) >= mine))
 
 
 def unit_changes(writes: DataFrame) -> DataFrame:
@@ -103,6 +126,32 @@ def valid_events(events: DataFrame) -> DataFrame:
     return events.where("when > 0 AND coalesce(what, '') <> ''")
 
 
+def split_events(requests: DataFrame, column: str = "value", tenant: str = "tenant_id") -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) of requests that hold one annotation each as JSON. The request's tenant is the annotation's.
+
+    A body that is no single JSON object is rejected: none, several, an array, or text that cannot be parsed.
+    """
+    body = F.trim(F.col(column))
+    one = F.from_json(F.concat(F.lit("["), body, F.lit("]")), T.ArrayType(T.StructType.fromDDL(EVENT)), {"mode": "PERMISSIVE"})
+    judged = requests.select(F.col(tenant).alias("tenant_id"), F.startswith(body, F.lit("{")).alias("_object"), one.alias("_e"))
+    e = F.get("_e", 0)
+    why = (
+        F.when(~F.coalesce("_object", F.lit(False)) | F.col("_e").isNull() | (F.size("_e") == 0) | e.isNull(), "Invalid Data")
+        .when(F.size("_e") > 1, "Only one event is allowed per request")
+        .when(F.coalesce(e["what"], F.lit("")) == "", "what may not be empty")
+        .when(F.coalesce(e["when"], F.lit(0)) <= 0, "when must be greater than or equal to 1")
+    )
+    judged = judged.withColumn("_p", why)
+    valid = judged.where("_p is null").select("tenant_id", e["when"].alias("when"), e["what"].alias("what"), e["data"].alias("data"), e["tags"].alias("tags"))
+    return valid, judged.where("_p is not null").select("tenant_id", F.col("_p").alias("message"))
+
+
+def route(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(basic, pre-aggregated) writes by their rollup_type; without one a write is basic."""
+    basic = F.coalesce("rollup_type", F.lit("BF_BASIC")) == "BF_BASIC"
+    return writes.where(basic), writes.where(~basic)
+
+
 def tracked(requests: DataFrame, tenants: list[str], metrics: list[str]) -> DataFrame:
     """Requests of tracked tenants that mention a tracked metric, or any if none is tracked."""
     hit = F.lit(not metrics)

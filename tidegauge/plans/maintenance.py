@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.granularity import LADDER, Granularity, snap
-from ..operators.ingest import unexpired
+from ..operators.ingest import TtlDays, unexpired
 from ..operators.rollups import KEYS, SERIES, compute, ladder
 
+#: Folders that annotations are spread over by a hash of their tenant.
+ROUTES = 64
+
 
 def reroll_late(stored: DataFrame, points: DataFrame, late: DataFrame, g: Granularity, kind: str = "BF_BASIC") -> DataFrame:
     """Stored buckets, with those that late points touch computed again from all points."""
@@ -30,8 +33,24 @@ def reroll_shards(points: DataFrame, shards: list[int], start: int, stop: int) -
     return reroll_series(points.where(shard(locator(F.col("tenant_id"), F.col("metric"))).isin(shards)), start, stop)
 
 
-def vacuum(levels: dict[str, DataFrame], now_ms: int, days: dict[str, int] | None = None) -> dict[str, DataFrame]:
-    return {k: unexpired(df, now_ms, k, days, "ts_ms" if k == "full" else "bucket_ms") for k, df in levels.items()}
+def vacuum(levels: dict[str, DataFrame], now_ms: int, days: TtlDays | None = None, kind: str = "BF_BASIC", forced: int | None = None) -> dict[str, DataFrame]:
+    return {k: unexpired(df, now_ms, k, days, "ts_ms" if k == "full" else "bucket_ms", kind, forced) for k, df in levels.items()}
+
+
+def _route(tenant: Column) -> Column:
+    return F.pmod(F.xxhash64(tenant), F.lit(ROUTES))
+
+
+def write_events(events: DataFrame, root: str) -> None:
+    """Appends annotations, each to its tenant's route; a route's rows are spread over tasks by day, so that a large tenant is not one task's."""
+    day = F.to_date(F.timestamp_millis("when"))
+    routed = events.withColumn("route", _route(F.col("tenant_id")))
+    routed.repartition("route", day).sortWithinPartitions("route", "tenant_id", "when").write.mode("append").partitionBy("route").parquet(root)
+
+
+def read_events(spark: SparkSession, root: str, tenant: str) -> DataFrame:
+    """A tenant's annotations: its route is the only one read."""
+    return spark.read.parquet(root).where((F.col("route") == _route(F.lit(tenant))) & (F.col("tenant_id") == tenant)).drop("route")
 
 
 def write_level(df: DataFrame, root: str, g: Granularity) -> None:

@@ -100,11 +100,33 @@ def batch_json(shown: DataFrame) -> DataFrame:
     return each.groupBy("tenant_id").agg(F.array_sort(F.collect_list(metric)).alias("metrics")).select("tenant_id", F.to_json(F.struct("metrics")).alias("json"))
 
 
-def rollup_event_json(rollups: DataFrame, g: Granularity, metadata: DataFrame) -> DataFrame:
-    """One JSON line for each basic rollup, for listeners and export files."""
-    body = F.struct(F.col("count"), average().alias("mean"), F.col("variance").alias("var"), "min", "max", "sum")
+def _number(whole: Column, real: Column) -> Column:
+    """A long as a whole number, else a double: JSON keeps the difference."""
+    return F.coalesce(whole.cast("variant"), real.cast("variant"))
+
+
+def rollup_body(kind: str, columns: list[str]) -> Column:
+    """What a listener is told of a rollup, by type. Statistics of no points are null."""
+    c = F.col
+    some = lambda x: F.when(c("count") != 0, x)
+    long_of = lambda k: c(f"{k}_long") if f"{k}_long" in columns else F.lit(None).cast("long")
+    if kind == "SET":
+        return F.struct("count")
+    if kind == "COUNTER":
+        return F.struct("count", c("sample_count").alias("sampleCount"), "rate")
+    base = [c("count"), *[some(_number(long_of(k), c(k))).alias(k) for k in ("max", "min")], some(_number(c("avg_long"), c("avg_double"))).alias("mean"), some(c("variance")).alias("var")]
+    if kind == "TIMER":
+        return F.struct("sum", "rate", c("sample_count").alias("sampleCount"), *base)
+    if kind == "GAUGE":
+        return F.struct(_number(c("latest.v_long"), c("latest.v_double")).alias("latestVal"), *base)
+    return F.struct(*base, some(c("sum")).alias("sum"))
+
+
+def rollup_event_json(rollups: DataFrame, g: Granularity, metadata: DataFrame, kind: str = "BF_BASIC") -> DataFrame:
+    """One JSON line for each rollup of a type, for listeners and export files."""
     rows = with_units(rollups, metadata)
-    return rows.select(*KEYS, F.to_json(F.struct(F.col("tenant_id").alias("tenantId"), F.col("metric").alias("metricName"), F.lit(g.short).alias("gran"), body.alias("rollup"), F.col("bucket_ms").alias("timestamp"), F.struct(F.lit("BF_BASIC").alias("type"), "unit").alias("metadata"))).alias("json"))
+    line = F.struct(F.col("tenant_id").alias("tenantId"), F.col("metric").alias("metricName"), F.lit(g.short).alias("gran"), rollup_body(kind, rollups.columns).alias("rollup"), F.col("bucket_ms").alias("timestamp"), F.struct(F.lit(kind).alias("type"), "unit").alias("metadata"))
+    return rows.select(*KEYS, F.to_json(line, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def search_json(found: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.granularity import MIN_20, MIN_60, ROLLED, slot, snap
@@ -11,6 +11,7 @@ from ..functions.scalars import locator, shard
 # Ages in milliseconds.
 ROLLUP_DELAY, SHORT_DELAY, LONG_DELAY, REROLL_SPAN = 300_000, 300_000, 7_200_000, 3 * 86_400_000
 STATE = "gran string, slot int, shard int, state string, ts_ms bigint, last_rollup_ms bigint, last_ingest_ms bigint, dirty boolean"
+SLOT = ["gran", "slot", "shard"]
 
 
 def slots_of(points: DataFrame) -> DataFrame:
@@ -47,26 +48,71 @@ def eligible(state: DataFrame, now_ms: int, min_age: int = ROLLUP_DELAY, short:
     late = F.col("last_ingest_ms") - F.col("ts_ms") > short
     settled = ~needs_reroll(now_ms) | ((age > short) & (~late | (F.lit(now_ms) - F.col("last_ingest_ms") > long)))
     level = F.create_map(*[x for i, g in enumerate(ROLLED) for x in (F.lit(g.short), F.lit(i))])
-    return state.where((F.col("state") != "X") & (age > min_age) & settled).withColumn("reroll", needs_reroll(now_ms)).withColumn("level", level[F.col("gran")]).orderBy("level", "slot", "shard")
+    return state.where((F.col("state") == "A") & (age > min_age) & settled).withColumn("reroll", needs_reroll(now_ms)).withColumn("level", level[F.col("gran")]).orderBy("level", "slot", "shard")
+
+
+def _moved(state: DataFrame, some: DataFrame, to: str, where: str) -> DataFrame:
+    hit = state.join(some.select(*SLOT).distinct().withColumn("_x", F.lit(True)), SLOT, "left")
+    return hit.withColumn("state", F.when(F.col("_x") & (F.col("state") == where), to).otherwise(F.col("state"))).drop("_x")
+
+
+def start(state: DataFrame, taken: DataFrame) -> DataFrame:
+    """Slots taken up are running; their times stay, so that a rolled slot of the same time goes before them."""
+    return _moved(state, taken, "R", "A")
+
+
+def give_back(state: DataFrame, failed: DataFrame) -> DataFrame:
+    """Slots whose rollup failed wait again."""
+    return _moved(state, failed, "A", "R")
+
+
+def startable(ready: DataFrame, state: DataFrame) -> DataFrame:
+    """Of the slots that may be rolled up, those of which no finer part waits too or is running, nor they themselves."""
+    busy = state.where("state = 'R'").select(*SLOT).union(ready.select(*SLOT)).distinct()
+    held = _coarser(busy).union(state.where("state = 'R'").select(*SLOT)).distinct()
+    return ready.join(held, SLOT, "left_anti")
+
+
+def _coarser(d: DataFrame) -> DataFrame:
+    """The slots of all coarser granularities that hold a slot of ``d``."""
+    grans = F.array(*[F.struct(F.lit(g.short).alias("gran"), F.lit(g.slots).alias("n")) for g in ROLLED])
+    per = F.create_map(*[F.lit(x) for g in ROLLED for x in (g.short, g.slots)])
+    wide = d.select(per[F.col("gran")].alias("_n"), F.col("slot").alias("_s"), "shard", F.explode(grans).alias("c")).where("c.n < _n")
+    return wide.select("c.gran", F.floor(F.col("_s") * F.col("c.n") / F.col("_n")).cast("int").alias("slot"), "shard").distinct()
 
 
 def complete(state: DataFrame, done: DataFrame, now_ms: int) -> DataFrame:
-    """Rolled slots are marked; the slots of coarser granularities that hold them become dirty again."""
-    d = done.select("gran", "slot", "shard").distinct()
-    number = {g.short: g for g in ROLLED}
-    up = None
-    for g in ROLLED[:-1]:
-        for c in ROLLED[g.level :]:
-            rows = d.where(F.col("gran") == g.short).select(F.lit(c.short).alias("gran"), F.floor(F.col("slot") * number[c.short].slots / g.slots).cast("int").alias("slot"), "shard")
-            up = rows if up is None else up.union(rows)
-    dirty = up.distinct().withColumn("_d", F.lit(True)).join(d, ["gran", "slot", "shard"], "left_anti")
-    both = state.join(d.withColumn("_x", F.lit(True)), ["gran", "slot", "shard"], "left").join(dirty, ["gran", "slot", "shard"], "left")
+    """Running slots that are done are rolled, and dirty until pushed; one that became active meanwhile stays so. Slots of coarser granularities that hold
+    a slot done become active and dirty."""
+    d = done.select(*SLOT).distinct()
+    dirty = _coarser(d).withColumn("_d", F.lit(True)).join(d, SLOT, "left_anti")
+    both = state.join(d.withColumn("_x", F.lit(True)), SLOT, "left").join(dirty, SLOT, "left")
+    rolled = F.col("_x") & (F.col("state") == "R")
     return both.select(
-        "gran", "slot", "shard", F.when(F.col("_x"), "X").when(F.col("_d"), "A").otherwise(F.col("state")).alias("state"), "ts_ms", F.when(F.col("_x"), F.lit(now_ms).cast("long")).otherwise(F.col("last_rollup_ms")).alias("last_rollup_ms"),
-        "last_ingest_ms", F.when(F.col("_x"), False).when(F.col("_d"), True).otherwise(F.col("dirty")).alias("dirty"),
+        *SLOT, F.when(rolled, "X").when(F.col("_d"), "A").otherwise(F.col("state")).alias("state"), "ts_ms", F.when(F.col("_x"), F.lit(now_ms).cast("long")).otherwise(F.col("last_rollup_ms")).alias("last_rollup_ms"),
+        "last_ingest_ms", F.when(rolled | F.col("_d"), True).otherwise(F.col("dirty")).alias("dirty"),
     )
 
 
+def push(state: DataFrame, root: str, now_ms: int) -> DataFrame:
+    """Appends dirty slots to the store, a folder for each shard; returns the state with none dirty.
+
+    ``state`` is read twice, so it should be a table or checkpointed. Running slots are stored as active: another node may take them over.
+    """
+    stored = F.when(F.col("state") == "R", "A").otherwise(F.col("state")).alias("state")
+    rows = state.where("dirty").select("gran", "slot", "shard", stored, "ts_ms", "last_rollup_ms", "last_ingest_ms", F.lit(now_ms).cast("long").alias("write_ms"))
+    rows.repartition("shard").write.mode("append").partitionBy("shard").parquet(root)
+    return state.withColumn("dirty", F.lit(False))
+
+
+def pull(spark: SparkSession, root: str, shards: list[int]) -> DataFrame:
+    """The store's last row of each slot of some shards; only their folders are read. Of rows written at one time the rolled one goes first."""
+    rows = spark.read.schema(STATE.replace(", dirty boolean", ", write_ms bigint")).parquet(root).where(F.col("shard").isin(shards))
+    rest = ["state", "ts_ms", "last_rollup_ms", "last_ingest_ms"]
+    last = F.max_by(F.struct(*rest), F.struct("write_ms", "state", "ts_ms", "last_rollup_ms"))
+    return rows.groupBy(*SLOT).agg(last.alias("s")).select(*SLOT, "s.*", F.lit(False).alias("dirty"))
+
+
 def reconcile(memory: DataFrame, incoming: DataFrame) -> DataFrame:
     """One node's state after it reads another's rows.
 
@@ -106,6 +152,11 @@ def delayed_locators(points: DataFrame, now_ms: int) -> DataFrame:
     return late.select(F.lit(MIN_20.short).alias("gran"), slot(F.col("ts_ms"), MIN_20).alias("slot"), "tenant_id", "metric", shard(locator(F.col("tenant_id"), F.col("metric"))).alias("shard")).distinct()
 
 
+def delayed_in(delayed: DataFrame, gran: str, slot_no: int, shard_no: int) -> DataFrame:
+    """Series noted as late under one slot of a shard."""
+    return delayed.where((F.col("gran") == gran) & (F.col("slot") == slot_no) & (F.col("shard") == shard_no)).select("tenant_id", "metric")
+
+
 def touched_buckets(late: DataFrame, g=MIN_60) -> DataFrame:
     """(series, bucket) that late points touch: only these are rolled up again."""
     return late.select("tenant_id", "metric", snap(F.col("ts_ms"), g).alias("bucket_ms")).distinct()

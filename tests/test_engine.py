@@ -246,3 +246,30 @@ def test_rollup_json_of_no_points(spark):
     out = {r.metric: json.loads(r.json)["rollup"] for r in reading.rollup_event_json(rows, G.MIN_5, meta).collect()}
     assert out["m"] == {"count": 0, "max": None, "min": None, "mean": None, "var": None, "sum": None}
     assert out["n"]["mean"] == 3 and isinstance(out["n"]["mean"], int) and isinstance(out["n"]["sum"], float)
+
+
+def test_point_dump(spark, tmp_path):
+    day = 86_400_000
+    a = tables.synthetic_points(spark, 20, day, 0, "t", "a")
+    assert a.count() == 20 and a.agg(F.max("v_long")).first()[0] == 20
+    a.unionByName(tables.synthetic_points(spark, 20, day, 0, "t", "b")).write.parquet(str(tmp_path / "p"))
+    got = tables.dump_points(spark, str(tmp_path / "p"), "t", "a", 19 * day)
+    assert [r.ts_ms // day for r in got.collect()] == list(range(12, 20)) and {r.metric for r in got.collect()} == {"a"}
+    assert tables.dump_points(spark, str(tmp_path / "p"), "t", "b", 19 * day, day, 2 * day).count() == 2
+    two = tables.read_points(spark, str(tmp_path / "p"), 0, day, [("t", "a"), ("t", "b"), ("u", "a")])
+    assert two.count() == 4
+
+
+def test_backfill_stops_at_late_points(spark):
+    p = minutes(spark, 60)
+    rolled, left = maintenance.backfill(p, G.MIN_5, 59 * 60_000, done_ms=10 * 60_000)
+    assert sorted(r.bucket_ms // 60_000 for r in rolled.collect()) == list(range(10, 45, 5)) and left.count() == 15
+    with pytest.raises(ValueError):
+        maintenance.backfill(p, G.MIN_5, 59 * 60_000, done_ms=11 * 60_000)
+
+
+def test_tracked_and_has_data(spark):
+    q = spark.createDataFrame([("t", "a.b 1"), ("t", "c 2"), ("u", "a.b 3")], "tenant_id string, message string")
+    assert ingest.tracked(q, ["t"], ["a.b"]).count() == 1 and ingest.tracked(q, ["t"], []).count() == 2
+    rows = spark.createDataFrame([(0, 0, []), (2, 1, [5])], "count bigint, sample_count bigint, hashes array<int>")
+    assert [rows.where(R.has_data(k)).count() for k in ("BF_BASIC", "COUNTER", "SET")] == [1, 1, 1]

@@ -11,6 +11,8 @@ from ..operators.rollups import KEYS, SERIES, compute, ladder
 
 #: Folders that annotations are spread over by a hash of their tenant.
 ROUTES = 64
+#: Fixed value: late points that a backfill puts up with.
+MOST_LATE = 10
 
 
 def reroll_late(stored: DataFrame, points: DataFrame, late: DataFrame, g: Granularity, kind: str = "BF_BASIC") -> DataFrame:
@@ -80,7 +82,14 @@ def export_json(events: DataFrame, path: str, per_file: int = 1_000_000) -> None
     events.select(F.col("json").alias("value")).write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-def backfill(points: DataFrame, g: Granularity, newest_ms: int, open_buckets: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(rollups of buckets that are closed, points of those still open): the newest buckets stay open for late points."""
+def backfill(points: DataFrame, g: Granularity, newest_ms: int, open_buckets: int = 3, done_ms: int | None = None, most_late: int = MOST_LATE) -> tuple[DataFrame, DataFrame]:
+    """(rollups of buckets that are closed, points of those still open): the newest buckets stay open for late points.
+
+    Points before ``done_ms`` belong to buckets that an earlier call closed. A few such are left out; more than ``most_late`` are an error.
+    """
+    if done_ms is not None:
+        if points.where(F.col("ts_ms") < done_ms).limit(most_late + 1).count() > most_late:
+            raise ValueError(f"more than {most_late} points are older than the buckets closed before")
+        points = points.where(F.col("ts_ms") >= done_ms)
     closed = newest_ms - newest_ms % g.ms - (open_buckets - 1) * g.ms
     return compute("BF_BASIC", points.where(F.col("ts_ms") < closed), g, True), points.where(F.col("ts_ms") >= closed)

@@ -28,6 +28,13 @@ def read_points(spark: SparkSession, path: str, start: int, stop: int, locators:
     return df
 
 
+def dump_points(spark: SparkSession, path: str, tenant: str, metric: str, now_ms: int, start: int | None = None, stop: int | None = None) -> DataFrame:
+    """One series in order of time: the last seven days if nothing else is asked for."""
+    stop = now_ms if stop is None else stop
+    start = stop - 7 * 86_400_000 if start is None else start
+    return read_points(spark, path, start, stop, [(tenant, metric)]).orderBy("ts_ms")
+
+
 def parse_raw(lines: DataFrame, tenant: str | None = None, column: str = "value") -> DataFrame:
     """JSON arrays (or single objects) of raw metrics, one payload a line. A given tenant overrides the items'."""
     one = F.from_json(column, T.ArrayType(T.StructType.fromDDL(RAW)))

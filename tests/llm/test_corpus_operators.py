@@ -755,3 +755,27 @@ def test_staged_rows_go_to_workers_in_small_batches(spark):
     got = common.stage(rows.mapInArrow(told, "n long, bytes long"), "told").collect()
     assert sum(r["n"] for r in got) == 400 and max(r["bytes"] for r in got) < 12e6
     assert spark.conf.get(common.SENT[0]) == before
+
+
+def test_workers_keep_tables_of_one_operator(monkeypatch):
+    """A task of another operator, and no task of the same one, lets go of what a worker keeps; then freed memory is returned."""
+    trimmed = []
+    monkeypatch.setattr(common, "_trim", lambda: trimmed.append)
+    encoder(queries.JSON_TOKENIZER)([" known words"])
+    list(common.lean(lambda batches: batches, "tokens")([]))
+    assert common.KEPT["tokens"] and trimmed == [0]
+    quality.features(["known", "words"])
+    assert list(common.lean(lambda batches: batches, "quality")(iter([1, 2]))) == [1, 2]
+    assert common.KEPT["quality"] is quality._SHAPES and quality._SHAPES and not common.KEPT["tokens"] and trimmed == [0, 0]
+    list(common.lean(lambda batches: batches, "ngrams")([]))
+    assert not quality._SHAPES
+
+
+def test_scores_come_in_slices(spark):
+    docs = docs_of(spark, ["some words here"] * 1000).coalesce(1)
+    seen = []
+    frame = type("Frame", (), {"columns": docs.columns, "select": docs.select, "mapInArrow": lambda self, run, schema: seen.append(run)})()
+    quality.score(frame, np.zeros(quality.BUCKETS + 1))
+    batch = pa.RecordBatch.from_pandas(docs.toPandas())
+    out = list(seen[0](iter([batch])))
+    assert [b.num_rows for b in out] == [256, 256, 256, 232] and {x for b in out for x in b.column(5).to_pylist()} == {0.5}

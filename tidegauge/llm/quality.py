@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT, lean
+
 BUCKETS = 1024
 #: Words added to the length that shares are taken of, so that a few words are weak evidence.
 DAMP = 8
@@ -84,7 +86,7 @@ class _Shapes(dict):
         return number
 
 
-_SHAPES = _Shapes()
+_SHAPES = KEPT["quality"] = _Shapes()
 
 
 def features(words: list[str]) -> np.ndarray:
@@ -150,7 +152,7 @@ def _map(docs: DataFrame, names: list[str], types: list, each) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), *each(part.column(1).to_pylist())], ["doc_id", *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, "quality"), schema)
 
 
 def sampled(total: float, sample: int) -> Column:
@@ -199,10 +201,12 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "quality_score") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = pa.array([chance(t) for t in batch.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                values = pa.array([chance(t) for t in part.column(at).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, values], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, out_schema)
+    return docs.mapInArrow(lean(run, "quality"), out_schema)
 
 
 def classify(docs: DataFrame, sample: int = 6000, threshold: float = 0.5) -> DataFrame:

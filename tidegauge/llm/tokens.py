@@ -15,8 +15,10 @@ import numpy as np
 import public_tokenizers
 import regex
 
+from .common import KEPT
+
 _RUN = re.compile(r" (?:\s|\Z)")
-_LOADED: dict[str, ChunkEncoder] = {}
+_LOADED: dict[str, ChunkEncoder] = KEPT.setdefault("tokens", {})
 
 
 def _chunks(text: str) -> list[str]:

@@ -223,6 +223,61 @@ def test_ngram_large_family(spark, num, den):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == brute_components(texts, 3, num, den)
 
 
+def test_ngram_reach_lets_every_link_pass():
+    """At the first key that two linked sets share neither is larger than the other's reach."""
+    r, linked = np.random.default_rng(21), 0
+    for num, den in ((90, 100), (80, 100), (60, 100)):
+        for _ in range(400):
+            a = np.unique(r.integers(0, 2**63, int(r.integers(1, 200))).astype(np.uint64))
+            left, added = r.permutation(a)[int(r.integers(0, len(a) // 8 + 1)) :], r.integers(0, 2**63, int(r.integers(0, len(a) // 8 + 1))).astype(np.uint64)
+            b = np.unique(np.concatenate([left, added]))
+            if ngrams.reaches(a, b, num, den):
+                linked += 1
+                first = np.intersect1d(a, b)[0]
+                i, j = int(np.searchsorted(a, first)), int(np.searchsorted(b, first))
+                assert i < ngrams.keys_in(len(a), num, den) and j < ngrams.keys_in(len(b), num, den)
+                assert len(b) <= ngrams.reach_of(len(a), i, num, den) and len(a) <= ngrams.reach_of(len(b), j, num, den)
+    assert linked > 300
+
+
+def test_ngram_partners_are_kept(spark):
+    """No class leaves a key at which one of another component is within both reaches; those of keys without any such pair do."""
+    r = random.Random(5)
+    top, rows = ngrams.bands_upto(400, 80, 100), []
+    for key in range(60):
+        size = r.choice([9, 60, 300])
+        for cls in range(r.choice([3, 8, 25])):
+            n = r.randint(size, size + r.choice([1, size // 2 + 1]))
+            place = r.randrange(ngrams.keys_in(n, 80, 100))
+            rows.append((key, 100 * key + cls, n, ngrams.reach_of(n, place, 80, 100), sum(t < n for t in top), r.randrange(r.choice([1, 2, 9]))))
+    pair = lambda x, y: x[0] == y[0] and x[5] != y[5] and x[2] <= y[3] and y[2] <= x[3]
+    need = {x[1] for x in rows if any(pair(x, y) for y in rows)}
+    got = {x.cls for x in ngrams._with_partners(spark.createDataFrame(rows, "key long, cls long, n long, reach long, band int, comp long")).collect()}
+    assert need <= got and len(got) < 1.3 * len(need) < len(rows)
+
+
+def test_ngram_tiles_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Many texts share most of their n-grams, but not enough to link: only those that may link come into tiles."""
+    r, rows, staged = random.Random(31), {}, ngrams.stage
+
+    def counted(df, name):
+        out = staged(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngrams, "stage", counted)
+    word = lambda: f"w{r.randrange(10**9)}"
+    passage, texts = [word() for _ in range(88)], []
+    for i in range(600):
+        own = [word() for _ in range(17)]
+        texts.append(" ".join(own + passage))
+        if i % 20 == 0:
+            texts += [" ".join([word(), *own[1:], *passage]), " ".join([word(), word(), *own[2:], *passage])]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngrams.jaccard_components(docs_of(spark, texts), 5, 80, 100, block=50).collect()}
+    assert got == brute_components(texts, 5, 80, 100)
+    assert sum(rows["tiles"]) < len(texts)
+
+
 def test_ngram_bound_is_never_below_the_overlap():
     r = np.random.default_rng(3)
     for _ in range(50):

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import defaultdict
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidegauge.llm import common, fingerprints, html_extract, licenses, ngrams, packing, quality, queries, secrets, token_index, vectors
-from tidegauge.llm.byte_bpe import encode_documents, read_ranks
+from tidegauge.llm.byte_bpe import encode_documents, read_merges, read_ranks
 from tidegauge.llm.components import components
 from tidegauge.llm.tokens import encoder
 
@@ -731,6 +732,46 @@ def test_bpe(spark, sf):
     assert base64.b64decode("IQ==") in ranks
 
 
+def _bpe_agrees(spark, path, ranks, texts):
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: r for r in encode_documents(docs_of(spark, texts), path, public_tokenizers.PATTERN, cache_words=0).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].ids == reference.encode_ordinary(t) and bytes(got[i].decoded) == t.encode(), t[:80]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_bpe_of_rare_words(spark, name):
+    """Words put together from tokens and their pieces, which no vocabulary or cache holds."""
+    path = public_tokenizers.path(name)
+    r, ranks = np.random.default_rng(3), read_ranks(path)
+    tokens = [t for t in (k.decode("utf-8", "ignore").strip() for k in ranks) if t.isalpha()]
+    word = lambda: "".join(tokens[i][: r.integers(1, 9)] for i in r.integers(0, len(tokens), r.integers(2, 6)))
+    _bpe_agrees(spark, path, ranks, [" ".join(word() for _ in range(100)) for _ in range(30)])
+
+
+def test_bpe_folds_over_merges(spark):
+    """A word has a step for each token in it, so that long words take seconds; a step for each letter, over all letters, costs the square."""
+    assert read_merges(queries.RANKS)[b" the"] == (b" t", b"he")
+    ranks, r = read_ranks(queries.RANKS), np.random.default_rng(4)
+    letters = "".join(r.choice(list("etaoinshrdluéß"), 20_000))
+    texts = ["x" * 2000, letters[:255], letters[:256], letters[:257], letters[:700], letters, letters, " " + "aha" * 7000]
+    start = time.perf_counter()
+    _bpe_agrees(spark, queries.RANKS, ranks, texts)
+    assert time.perf_counter() - start < 60
+
+
+def test_bpe_of_any_ranks(spark, tmp_path):
+    """Ranks that don't rise from parts to tokens are folded by searching."""
+    letters = {bytes([b]): b for b in range(256)}
+    texts = ["xyabxyab yab ab xyabab bxyaab", "aaaaaaa", "é abab", ""]
+    for more, ranked in (([b"xy", b"ya", b"yab", b"xyab", b"ab"], False), ([b"aa", b"ab", b"xy", b"xyab", b"aaaa"], True), ([], True)):
+        ranks = letters | {t: 256 + i for i, t in enumerate(more)}
+        path = tmp_path / f"{len(more)}{ranked}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for t, i in ranks.items()))
+        assert (read_merges(str(path)) is not None) == ranked
+        _bpe_agrees(spark, str(path), ranks, texts)
+
+
 # --- 9 quality
 
 def test_quality_on_labels(spark):

@@ -36,6 +36,22 @@ def test_against_sql(spark, duck, sf, name):
     assert rows(got) == rows(want)
 
 
+def odd_table(duck, folder, name, rows_sql):
+    """A view of a small table, written in the order of its rows, in place of the driver's."""
+    duck.execute(f"COPY ({rows_sql}) TO '{folder}/{name}.parquet'")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", ["gauge_latest", "gauge_merge", "event_json_gauge"])
+def test_of_events_at_one_time_the_first_is_latest(spark, duck, tmp_path, name):
+    at = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (i * 40 // 400 * 20) MINUTE"
+    value = "CASE WHEN i < 290 THEN CAST(i * 7 % 10 AS DOUBLE) END"
+    con = odd_table(duck, tmp_path, "events", f"SELECT i AS event_id, {at} AS ts, i % 2 AS user_id, 'view' AS event_type, {value} AS value, '{{}}' AS props FROM range(300) r(i) ORDER BY i")
+    assert rows(entry_module.queries()[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(entry_module.oracle_sql()[name]).df())
+
+
 def test_flagship(spark):
     assert entry_module.entry(spark).count() > 0
 

@@ -196,15 +196,20 @@ def counter_merge(spark, d):
     return out.select(*rollups.KEYS, "count", F.round("rate", 6).alias("rate"), "sample_count")
 
 
+def _gauges(spark, d, g):
+    """Of events at one time the SQL takes the value of the first in the table."""
+    return rollups.gauge_from_raw(tables.event_points(spark, d, placed=True), g, tables.PLACE)
+
+
 @query(f"WITH {EV} SELECT {KEYED}, {B(3_600_000)} AS bucket_ms, count(*) AS count, round(avg(v) + 1e-9, 4) AS average, max(ts_ms) AS latest_ms, round(max_by(v, ts_ms) + 1e-9, 4) AS latest FROM ev GROUP BY ALL")
 def gauge_latest(spark, d):
-    out = rollups.gauge_from_raw(ev(spark, d), G.MIN_60)
+    out = _gauges(spark, d, G.MIN_60)
     return out.select(*rollups.KEYS, "count", r(rollups.average(), "average"), F.col("latest.ts_ms").alias("latest_ms"), r("latest.v_double", "latest"))
 
 
 @query(f"WITH {EV} SELECT {KEYED}, {B(DAY)} AS bucket_ms, count(*) AS count, round(avg(v) + 1e-9, 4) AS average, round(var_pop(v) + 1e-9, 4) AS variance, round(max_by(v, ts_ms) + 1e-9, 4) AS latest FROM ev GROUP BY ALL")
 def gauge_merge(spark, d):
-    out = rollups.gauge_from_gauge(rollups.gauge_from_gauge(rollups.gauge_from_raw(ev(spark, d), G.MIN_60), G.MIN_240), G.MIN_1440)
+    out = rollups.gauge_from_gauge(rollups.gauge_from_gauge(_gauges(spark, d, G.MIN_60), G.MIN_240), G.MIN_1440)
     return out.select(*rollups.KEYS, "count", r(rollups.average(), "average"), r("variance"), r("latest.v_double", "latest"))
 
 
@@ -646,7 +651,7 @@ def event_json_counter(spark, d):
 
 @query(f"WITH {EV} SELECT {KEYED}, {B(DAY)} AS bucket_ms, 'GAUGE' AS j_type, count(*) AS j_count, round(max_by(v, ts_ms) + 1e-9, 4) AS j_latest, round(avg(v) + 1e-9, 4) AS j_mean, round(max(v) + 1e-9, 4) AS j_max FROM ev GROUP BY ALL")
 def event_json_gauge(spark, d):
-    return _told(rollups.gauge_from_raw(ev(spark, d), G.MIN_1440), G.MIN_1440, "GAUGE", j_count=("count", "long"), j_latest=("latestVal", "double"), j_mean=("mean", "double"), j_max=("max", "double"))
+    return _told(_gauges(spark, d, G.MIN_1440), G.MIN_1440, "GAUGE", j_count=("count", "long"), j_latest=("latestVal", "double"), j_mean=("mean", "double"), j_max=("max", "double"))
 
 
 @query(f"WITH {TM} SELECT {KEYED}, {B(14_400_000, 'h')} AS bucket_ms, 'TIMER' AS j_type, CAST(sum(n) AS BIGINT) AS j_count, count(*) AS j_samples, round(sum(s) + 1e-9, 4) AS j_sum, round(min(mi) + 1e-9, 4) AS j_min FROM tm GROUP BY ALL")

@@ -120,15 +120,23 @@ def _ms(column: str) -> Column:
     return F.unix_millis(F.col(column).cast("timestamp"))
 
 
-def event_points(spark: SparkSession, sf_dir: str, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
-    """All events, or those of a range of milliseconds (both ends included), for which the scan prunes row groups by ``ts``."""
+#: Where a row stands in a stored table.
+PLACE = ["stored_file", "stored_row"]
+
+
+def _place() -> list[Column]:
+    return [F.col(f"_metadata.{k}").alias(v) for k, v in zip(("file_path", "row_index"), PLACE, strict=True)]
+
+
+def event_points(spark: SparkSession, sf_dir: str, from_ms: int | None = None, to_ms: int | None = None, placed: bool = False) -> DataFrame:
+    """All events, or those of a range of milliseconds (both ends included), for which the scan prunes row groups by ``ts``; with their PLACE if asked for."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     at = lambda ms: F.timestamp_millis(F.lit(ms)).cast(e.schema["ts"].dataType)
     if from_ms is not None:
         e = e.where(F.col("ts") >= at(from_ms))
     if to_ms is not None:
         e = e.where(F.col("ts") < at(to_ms + 1))
-    return e.select(F.concat(F.lit("t"), F.col("user_id") % 8).alias("tenant_id"), F.concat(F.lit("app."), "event_type").alias("metric"), _ms("ts").alias("ts_ms"), F.lit(None).cast("long").alias("v_long"), F.col("value").alias("v_double"))
+    return e.select(F.concat(F.lit("t"), F.col("user_id") % 8).alias("tenant_id"), F.concat(F.lit("app."), "event_type").alias("metric"), _ms("ts").alias("ts_ms"), F.lit(None).cast("long").alias("v_long"), F.col("value").alias("v_double"), *(_place() if placed else []))
 
 
 def shipment_writes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def odd_table(duck, folder, name, rows_sql):
     return con
 
 
-@pytest.mark.parametrize("name", ["gauge_latest", "gauge_merge", "event_json_gauge"])
+@pytest.mark.parametrize("name", ["gauge_latest", "gauge_merge", "event_json_gauge", "stat_select_gauge"])
 def test_of_events_at_one_time_the_first_is_latest(spark, duck, tmp_path, name):
     at = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (i * 40 // 400 * 20) MINUTE"
     value = "CASE WHEN i < 290 THEN CAST(i * 7 % 10 AS DOUBLE) END"

@@ -672,7 +672,7 @@ def event_json_longs(spark, d):
 
 @query(f"WITH {EV} SELECT {KEYED}, {B(3_600_000)} AS timestamp, count(*) AS numPoints, round(max_by(v, ts_ms) + 1e-9, 4) AS latest FROM ev GROUP BY ALL")
 def stat_select_gauge(spark, d):
-    out = reading.show(rollups.gauge_from_raw(ev(spark, d), G.MIN_60), "GAUGE", "numPoints,latest,nosuch")
+    out = reading.show(_gauges(spark, d, G.MIN_60), "GAUGE", "numPoints,latest,nosuch")
     return out.select("tenant_id", "metric", "timestamp", "numPoints", r("latest"))
 
 

@@ -40,7 +40,7 @@ def odd_table(duck, folder, name, rows_sql):
     """A view of a small table, written in the order of its rows, in place of the driver's."""
     duck.execute(f"COPY ({rows_sql}) TO '{folder}/{name}.parquet'")
     con = duckdb.connect(config={"threads": 1})
-    con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    con.execute(f"CREATE VIEW \"{name}\" AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
 
 
@@ -52,6 +52,30 @@ def test_of_events_at_one_time_the_first_is_latest(spark, duck, tmp_path, name):
     assert rows(entry_module.queries()[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(entry_module.oracle_sql()[name]).df())
 
 
+def test_writes_with_nulls_and_fractions(spark, duck, tmp_path):
+    con = odd_table(
+        duck, tmp_path, "lineitem",
+        "SELECT i AS l_orderkey, CAST(1 AS INT) AS l_linenumber, i // 4 AS l_suppkey, i / 4 AS l_quantity, CASE WHEN i % 5 <> 0 THEN 'A' END AS l_returnflag, CASE WHEN i % 7 <> 0 THEN 'F' END AS l_linestatus, TIMESTAMP '1999-05-06' AS l_shipdate FROM range(80) r(i) ORDER BY i",
+    )
+    for name in ("raw_dedup_lww", "counter_from_raw"):
+        assert rows(entry_module.queries()[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(entry_module.oracle_sql()[name]).df())
+
+
+def test_of_writes_with_equal_keys_the_first_stands(spark, duck, tmp_path):
+    """Two files, of which Spark reads the larger one first."""
+    (tmp_path / "lineitem.parquet").mkdir()
+    for part, start, stop in ((0, 0, 8), (1, 8, 4000)):
+        odd_table(
+            duck, tmp_path / "lineitem.parquet", f"part-{part}",
+            f"SELECT 7 AS l_orderkey, CAST(1 AS INT) AS l_linenumber, i % 4 AS l_suppkey, CAST(i AS DOUBLE) AS l_quantity, 'A' AS l_returnflag, 'F' AS l_linestatus, TIMESTAMP '1999-05-06' AS l_shipdate FROM range({start}, {stop}) r(i) ORDER BY i",
+        )
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = rows(con.execute(entry_module.oracle_sql()["raw_dedup_lww"]).df())
+    assert [w[-1] for w in want] == ["0.0000", "1.0000", "2.0000", "3.0000"]
+    assert rows(entry_module.queries()["raw_dedup_lww"](spark, str(tmp_path)).toPandas()) == want
+
+
 def test_flagship(spark):
     assert entry_module.entry(spark).count() > 0
 

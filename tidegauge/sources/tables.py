@@ -140,18 +140,20 @@ def event_points(spark: SparkSession, sf_dir: str, from_ms: int | None = None, t
 
 
 def shipment_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long series with many writes at one time."""
+    """Long series with many writes at one time. A part of the name that is null makes the name null; quantities are rounded to the nearest whole number, halves to the even one."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return li.select(
-        F.concat(F.lit("s"), F.col("l_suppkey") % 4).alias("tenant_id"), F.concat_ws(".", F.lit("qty"), "l_returnflag", "l_linestatus").alias("metric"), _ms("l_shipdate").alias("ts_ms"),
-        F.col("l_quantity").cast("long").alias("v_long"), F.lit(None).cast("double").alias("v_double"), "l_orderkey", "l_linenumber",
+        F.concat(F.lit("s"), F.col("l_suppkey") % 4).alias("tenant_id"), F.concat(F.lit("qty."), "l_returnflag", F.lit("."), "l_linestatus").alias("metric"), _ms("l_shipdate").alias("ts_ms"),
+        F.rint("l_quantity").cast("long").alias("v_long"), F.lit(None).cast("double").alias("v_double"), "l_orderkey", "l_linenumber", *_place(),
     )
 
 
 def shipment_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last write of each time; of writes with equal keys the first in the table, which is what the SQL takes on small tables (on large ones it takes any)."""
     from ..operators.rollups import latest_write
 
-    return latest_write(shipment_writes(spark, sf_dir), [F.desc("l_orderkey"), F.desc("l_linenumber")]).drop("l_orderkey", "l_linenumber")
+    keys = ["l_orderkey", "l_linenumber"]
+    return latest_write(shipment_writes(spark, sf_dir), [*[F.desc(k) for k in keys], *[F.asc(k) for k in PLACE]]).drop(*keys, *PLACE)
 
 
 def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
